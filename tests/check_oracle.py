@@ -25,7 +25,7 @@ def main():
             df = queries[name](spark, sf_dir)
             if name in sql:
                 found = differences(df, con, sql[name])
-                rows = ""
+                rows = f"rows {con.sql('SELECT count(*) FROM (' + sql[name] + ')').fetchall()[0][0]}"
             else:
                 found, rows = [], f"rows-only {df.count()}"
         except Exception as err:  # report and go on
