@@ -13,15 +13,19 @@ from loadlens.operators import capacity, evaluate, telemetry
 from loadlens.sources.readers import keep_answered
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table; times are UTC."""
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """One test table, as a stream if asked; times are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not stream:
+        return rows
+    # A streaming source takes a pattern, not a file; this one matches that file alone.
+    return spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     return (
-        table(spark, sf_dir, "events")
+        table(spark, sf_dir, "events", stream)
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     )
@@ -40,10 +44,10 @@ ev AS (
   FROM events)"""
 
 
-def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_samples(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Raw load samples under the load tool's column names."""
     failed = F.col("event_type") == "error"
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, stream).select(
         F.col("event_id").alias("ord"),
         run_of(F.col("ts")).alias("run_id"),
         F.unix_millis("ts").alias("timeStamp"),
@@ -77,8 +81,8 @@ clean AS (
   FROM raw WHERE label = 'HTTP Request')"""
 
 
-def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capacity.prepare_samples(load_samples(spark, sf_dir))
+def clean_samples(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return capacity.prepare_samples(load_samples(spark, sf_dir, stream))
 
 
 STATS_SQL = SAMPLES_SQL + """,
@@ -117,9 +121,9 @@ def run_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capacity.user_bins(clean_samples(spark, sf_dir), by=["run_id"])
 
 
-def host_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def host_metrics(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Host metrics: two cores, memory and one GPU, from the view events."""
-    raw = _events(spark, sf_dir).filter("event_type = 'view'").select(
+    raw = _events(spark, sf_dir, stream).filter("event_type = 'view'").select(
         F.col("event_id").alias("ord"),
         run_of(F.col("ts")).alias("run_id"),
         F.unix_millis("ts").alias("timestamp"),
@@ -164,7 +168,7 @@ emis AS (
   FROM ev WHERE event_type = 'purchase')"""
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Trace spans from orders: the customer is the question, so questions repeat."""
     key, number = F.col("o_orderkey"), F.floor(F.col("o_totalprice")).cast("long") % 5
     price = F.floor(F.col("o_totalprice")).cast("long").cast("string")
@@ -176,7 +180,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 6 == 4, F.concat(F.lit("00"), number, F.lit(" ")))
         .otherwise(F.concat(F.lit("between 1 and "), number))
     )
-    raw = table(spark, sf_dir, "orders").select(
+    raw = table(spark, sf_dir, "orders", stream).select(
         key.alias("ord"),
         F.lit("generate").alias("name"),
         F.col("o_orderpriority").alias("span_kind"),
