@@ -7,20 +7,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loadlens import schemas
 from loadlens.operators import capacity, evaluate, telemetry
 from loadlens.sources.readers import keep_answered
 
 
+_LAYOUTS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """One test table, as a stream if asked; times are UTC."""
+    """One test table, as a stream if asked; times are UTC.
+
+    The layout is read from the file footer once per process.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _LAYOUTS:
+        _LAYOUTS[path] = spark.read.parquet(path).schema
     if not stream:
-        return rows
+        return spark.read.schema(_LAYOUTS[path]).parquet(path)
     # A streaming source takes a pattern, not a file; this one matches that file alone.
-    return spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(_LAYOUTS[path]).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:

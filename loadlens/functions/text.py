@@ -38,10 +38,10 @@ def final_answer(col: Column) -> Column:
 
 def json_escape(col: Column) -> Column:
     """Make text safe inside a JSON string; text without special characters is unchanged."""
-    escaped = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when(
-        col.rlike(r'["\\\r\n]'), strip(F.translate(escaped, "\r\n", "  "))
-    ).otherwise(col)
+    escaped = col
+    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\r", " "), ("\n", " ")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(safe))
+    return F.when(col.rlike(r'["\\\r\n]'), strip(escaped)).otherwise(col)
 
 
 def pipe_escape(col: Column) -> Column:

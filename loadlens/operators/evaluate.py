@@ -1,6 +1,6 @@
 """Answer evaluation: de-duplicate, look up truth, extract, compare, summarise.
 
-Rows carry ``question`` and ``generated_answer`` (see ``keep_answered``).
+Rows carry ``question`` and ``generated_answer``, not null (see ``keep_answered``).
 ``order_by`` names the columns that give file order and identify a row.
 """
 
@@ -86,7 +86,8 @@ def extract_answer(
     asks a model.  A missing reply counts as failed.
     """
     reply = F.coalesce(extractor(F.col(text)), F.lit(FAILED))
-    return df.withColumn("extracted_answer", parse_reply(reply))
+    return df.withColumn("_reply", reply).withColumn(
+        "extracted_answer", parse_reply(F.col("_reply"))).drop("_reply")
 
 
 def evaluate(
@@ -100,7 +101,9 @@ def evaluate(
     The extractor sees one row per question with a truth and nothing else.
     """
     rows, keys = _with_order(spans, order_by)
-    known = first_rows(rows, keys, "generated_answer").join(truth, "question", "left")
+    # The condition both branches below share, so that they share one shuffle.
+    asked = rows.filter("question is not null")
+    known = first_rows(asked, keys, "generated_answer").join(truth, "question", "left")
     verdict = same_answer(F.col("extracted_answer"), F.col("ground_truth"))
     scored = extract_answer(known.filter("ground_truth is not null"), extractor).select(
         *keys, F.when(verdict, schemas.CORRECT).otherwise(schemas.WRONG).alias("correctness"))

@@ -108,14 +108,11 @@ def parse_benchmark(lines: DataFrame) -> DataFrame:
 
     Blank lines, invalid JSON and rows without a question or an answer are left out.
     """
-    entry = F.from_json("value", schemas.QA)
-    return (
-        lines.withColumn("_entry", entry)
-        .withColumn("question", strip(F.col("_entry.question")))
-        .withColumn("answer", strip(F.col("_entry.answer")))
-        .drop("_entry", "value")
-        .filter("question <> '' and answer <> ''")
-    )
+    others = [c for c in lines.columns if c != "value"]
+    fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
+    return lines.select(*others, fields).withColumns({
+        c: strip(F.col(c)) for c in ("question", "answer")
+    }).filter("question <> '' and answer <> ''")
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
@@ -125,12 +122,10 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
     """Question and answer pairs; a bad line is skipped."""
-    pairs = read_lines(spark, path).withColumn("_entry", F.from_json("value", schemas.QA))
-    return (
-        pairs.select("ord", strip(F.col("_entry.question")).alias("question"),
-                     strip(F.col("_entry.answer")).alias("answer"))
-        .filter("question is not null and answer is not null")
-    )
+    fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
+    return read_lines(spark, path).select("ord", fields).withColumns({
+        c: strip(F.col(c)) for c in ("question", "answer")
+    }).filter("question is not null and answer is not null")
 
 
 def keep_answered(spans: DataFrame) -> DataFrame:
