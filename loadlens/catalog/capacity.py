@@ -81,7 +81,7 @@ def user_bins_by_run(spark, sf):
 
 
 def nmax(spark, sf):
-    bins = t.bins(spark, sf)
+    bins = t.saved_bins(spark, sf)
     found = [
         capacity.nmax(bins, x).select(F.lit(x).alias("threshold"), "nmax")
         for x in (5.0, 25.0, 28.0, 30.0)
@@ -103,11 +103,11 @@ def nmax_by_run(spark, sf):
 
 
 def error_rate_series(spark, sf):
-    return _rounded(capacity.error_rate_series(t.bins(spark, sf), 25.0), "y")
+    return _rounded(capacity.error_rate_series(t.saved_bins(spark, sf), 25.0), "y")
 
 
 def elapsed_series(spark, sf):
-    return _rounded(capacity.elapsed_series(t.bins(spark, sf), 25.0), "y")
+    return _rounded(capacity.elapsed_series(t.saved_bins(spark, sf), 25.0), "y")
 
 
 def _series_sql(y: str) -> str:

@@ -12,6 +12,7 @@ from loadlens import schemas
 from loadlens.catalog import Query
 from loadlens.catalog import tables as t
 from loadlens.operators import correlate
+from loadlens.sources.store import stored
 
 _N, _TOL, _ORDER = 20, 600, ["datetime", "ord"]
 _EMISSIONS = [m for m, _, _ in schemas.EMISSION_METRICS]
@@ -27,41 +28,41 @@ def every_n_users(spark, sf):
 
 
 def run_windows(spark, sf):
-    return correlate.run_windows(t.run_bins(spark, sf))
+    return correlate.run_windows(t.saved_run_bins(spark, sf))
 
 
 def within_window(spark, sf):
-    bins = t.run_bins(spark, sf)
+    bins = t.saved_run_bins(spark, sf)
     return correlate.within_window(bins, correlate.run_windows(bins)).select(
         "run_id", "user_bin", "bin_start_timestamp")
 
 
 def assign_runs(spark, sf):
-    windows = correlate.run_windows(t.run_bins(spark, sf))
+    windows = correlate.run_windows(t.saved_run_bins(spark, sf))
     host = t.host_metrics(spark, sf).drop("run_id")
     return correlate.assign_runs(host, windows, "datetime").select("run_id", "ord", "datetime")
 
 
 def nearest_join(spark, sf):
     host = t.host_metrics(spark, sf)
-    bins = t.run_bins(spark, sf)
+    bins = t.saved_run_bins(spark, sf)
     found = correlate.nearest_join(bins, host, [F.col("ord").alias("host_ord")], "datetime", _ORDER)
     return found.select("run_id", "user_bin", "match.payload.host_ord")
 
 
 def _host(spark, sf):
     return correlate.correlate_host(
-        t.run_bins(spark, sf), t.host_metrics(spark, sf), _ORDER, _TOL, _N)
+        t.saved_run_bins(spark, sf), t.host_metrics(spark, sf), _ORDER, _TOL, _N)
 
 
 def _emissions(spark, sf):
     return correlate.correlate_emissions(
-        t.run_bins(spark, sf), t.emissions(spark, sf), ["timestamp", "ord"], _TOL, _N)
+        t.saved_run_bins(spark, sf), t.emissions(spark, sf), ["timestamp", "ord"], _TOL, _N)
 
 
 def _phase2(spark, sf):
     return correlate.correlate_phase2(
-        t.bins(spark, sf), t.host_metrics(spark, sf), _ORDER, _TOL, _N)
+        t.saved_bins(spark, sf), t.host_metrics(spark, sf), _ORDER, _TOL, _N)
 
 
 def correlate_host(spark, sf):
@@ -78,37 +79,39 @@ def correlate_phase2(spark, sf):
 
 
 def unmatched_bins(spark, sf):
-    return correlate.unmatched_bins(t.bins(spark, sf), _phase2(spark, sf), n=_N).select("user_bin")
+    bins = t.saved_bins(spark, sf)
+    found = correlate.correlate_phase2(bins, t.host_metrics(spark, sf), _ORDER, _TOL, _N)
+    return correlate.unmatched_bins(bins, found, n=_N).select("user_bin")
 
 
 def concat_runs(spark, sf):
-    return _rounded(correlate.concat_runs(_host(spark, sf)))
+    return _rounded(correlate.concat_runs(stored(_host(spark, sf))))
 
 
 def run_separators(spark, sf):
-    df = correlate.run_separators(correlate.concat_runs(_host(spark, sf)))
+    df = correlate.run_separators(correlate.concat_runs(stored(_host(spark, sf))))
     return df.withColumn("label", F.col("label").cast("long"))
 
 
 def correlation_series(spark, sf):
     df = correlate.correlation_series(
-        correlate.concat_runs(_host(spark, sf)), schemas.CORRELATED_HOST_METRICS)
+        correlate.concat_runs(stored(_host(spark, sf))), schemas.CORRELATED_HOST_METRICS)
     return df.withColumn("value", F.round("value", 6))
 
 
 def emission_series(spark, sf):
-    return correlate.correlation_series(correlate.concat_runs(_emissions(spark, sf)), _EMISSIONS)
+    return correlate.correlation_series(correlate.concat_runs(stored(_emissions(spark, sf))), _EMISSIONS)
 
 
 def drop_all_null_metrics(spark, sf):
     blank = F.lit(None).cast("double")
-    df = correlate.concat_runs(_host(spark, sf)).withColumn("gpu_util", blank)
+    df = correlate.concat_runs(stored(_host(spark, sf))).withColumn("gpu_util", blank)
     series = correlate.correlation_series(df, ["cpu_usage", "memory_percent", "gpu_util"])
     return correlate.drop_all_null_metrics(series)
 
 
 def annotate_points(spark, sf):
-    return correlate.annotate_points(_phase2(spark, sf)).select("user_bin", "position")
+    return correlate.annotate_points(stored(_phase2(spark, sf))).select("user_bin", "position")
 
 
 def correlation_summary(spark, sf):

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loadlens.catalog import Query
 from loadlens.catalog import tables as t
-from loadlens.session import shared_dir
+from loadlens.sources.store import new_folder
 from loadlens.streaming import live
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/loadlens-{uuid.uuid4().hex}"
-
-
 def stream_host_metrics(spark, sf):
     metrics = t.host_metrics(spark, sf, stream=True)
-    folder = _folder(spark)
+    folder = new_folder(spark)
     windows = live.live_host_metrics(metrics, ["cpu_cores_sum", "memory_percent"], every="1 hour")
     live.run_append(windows, folder).awaitTermination()
     return spark.read.schema(windows.schema).parquet(f"{folder}/rows").withColumns({
@@ -26,14 +20,14 @@ def stream_host_metrics(spark, sf):
 
 
 def stream_user_bins(spark, sf):
-    folder = _folder(spark)
+    folder = new_folder(spark)
     live.run_user_bins(t.clean_samples(spark, sf, stream=True), folder).awaitTermination()
     return live.latest_batch(spark, f"{folder}/bins").withColumns({
         c: F.round(c, 6) for c in ("avg_error_rate", "avg_elapsed")})
 
 
 def stream_saturation(spark, sf):
-    folder = _folder(spark)
+    folder = new_folder(spark)
     live.run_saturation_alerts(
         t.clean_samples(spark, sf, stream=True), folder, threshold=25.0).awaitTermination()
     return spark.read.parquet(f"{folder}/alerts").drop("batch").withColumn(
@@ -41,7 +35,7 @@ def stream_saturation(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    folder = _folder(spark)
+    folder = new_folder(spark)
     firsts = live.live_dedup(t.spans(spark, sf, stream=True), late="4000 days").select("question")
     live.run_append(firsts, folder).awaitTermination()
     return spark.read.schema(firsts.schema).parquet(f"{folder}/rows")

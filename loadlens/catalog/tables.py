@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from loadlens import schemas
 from loadlens.operators import capacity, evaluate, telemetry
 from loadlens.sources.readers import keep_answered
+from loadlens.sources.store import stored
 
 
 _LAYOUTS: dict[str, StructType] = {}
@@ -36,7 +37,7 @@ def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame
     return (
         table(spark, sf_dir, "events", stream)
         .withColumn("ts", F.col("ts").cast("timestamp"))
-        .withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+        .withColumn("k", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("long"))
     )
 
 
@@ -112,6 +113,11 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capacity.user_bins(clean_samples(spark, sf_dir))
 
 
+def saved_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User bins as the capacity step leaves them on disk for later steps."""
+    return stored(bins(spark, sf_dir))
+
+
 RUN_BINS_SQL = SAMPLES_SQL + """,
 run_stats AS (
   SELECT run_id, allthreads,
@@ -130,6 +136,10 @@ def run_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capacity.user_bins(clean_samples(spark, sf_dir), by=["run_id"])
 
 
+def saved_run_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(run_bins(spark, sf_dir))
+
+
 def host_metrics(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Host metrics: two cores, memory and one GPU, from the view events."""
     raw = _events(spark, sf_dir, stream).filter("event_type = 'view'").select(

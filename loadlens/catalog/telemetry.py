@@ -46,19 +46,19 @@ starts AS (
 
 
 def snap_run_starts(spark, sf):
-    starts = telemetry.run_starts(t.run_bins(spark, sf))
+    starts = telemetry.run_starts(t.saved_run_bins(spark, sf))
     return telemetry.snap_run_starts(starts, t.host_metrics(spark, sf))
 
 
 def metric_series(spark, sf):
-    starts = telemetry.run_starts(t.run_bins(spark, sf))
+    starts = telemetry.run_starts(t.saved_run_bins(spark, sf))
     df = telemetry.metric_series(t.emissions(spark, sf), starts, "timestamp")
     return df.withColumn("run_id", F.col("run_id").cast("long"))
 
 
 def host_metric_series(spark, sf):
     host = t.host_metrics(spark, sf)
-    starts = telemetry.snap_run_starts(telemetry.run_starts(t.run_bins(spark, sf)), host)
+    starts = telemetry.snap_run_starts(telemetry.run_starts(t.saved_run_bins(spark, sf)), host)
     df = telemetry.metric_series(host, starts, "datetime", "marker", schemas.HOST_METRICS)
     return df.withColumn("run_id", F.col("run_id").cast("long"))
 

@@ -68,7 +68,7 @@ def moving_average(
     order_by: Sequence[str],
     group: Sequence[str] = (),
     n: int = 5,
-    slice_seconds: int = 3600,
+    slice_seconds: int = 600,
     chunk: int = 4096,
 ) -> DataFrame:
     """Add ``<col>_ma``, the centred ``n``-row average in ``order_by`` order per group.
@@ -160,7 +160,7 @@ def telemetry_summary(df: DataFrame, ts: str = "datetime") -> DataFrame:
 
 
 def sample_ticks(
-    df: DataFrame, ts: str, order_by: Sequence[str], k: int = 8, slice_seconds: int = 3600
+    df: DataFrame, ts: str, order_by: Sequence[str], k: int = 8, slice_seconds: int = 600
 ) -> DataFrame:
     """Up to ``k`` evenly spaced rows with their ``position``.
 
