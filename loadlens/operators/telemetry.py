@@ -24,7 +24,15 @@ def core_columns(df: DataFrame) -> list[str]:
 
 
 def with_time(df: DataFrame) -> DataFrame:
-    """Add ``datetime`` and the clock label ``time_str`` to epoch-ms ``timestamp``."""
+    """Add ``datetime`` and the clock label ``time_str`` to epoch-ms ``timestamp``.
+
+    Without a timestamp the label is the row's place in its file, counted per block.
+    """
+    if "timestamp" not in df.columns:
+        block = F.struct("ord.file", "ord.block")
+        placed = with_position(df, ["ord"], block, position="_place").drop("total")
+        return placed.withColumn(
+            "time_str", F.concat(F.lit("Point "), F.col("_place"))).drop("_place")
     ts = F.col("timestamp")
     if not isinstance(df.schema["timestamp"].dataType, T.TimestampType):
         ts = epoch_ms_to_timestamp(ts)
@@ -100,10 +108,11 @@ def moving_average(
 
 def run_starts(bins: DataFrame, order_by: str = "user_bin") -> DataFrame:
     """Start of each run: its bin 0, else its first row in ``order_by`` order."""
-    zero = F.when(F.col("user_bin") == 0, F.col(order_by))
-    return bins.groupBy("run_id").agg(F.coalesce(
-        F.min_by("bin_start_timestamp", zero), F.min_by("bin_start_timestamp", order_by),
-    ).alias("run_start"))
+    start = F.min_by("bin_start_timestamp", order_by)
+    if "user_bin" in bins.columns:
+        zero = F.when(F.col("user_bin") == 0, F.col(order_by))
+        start = F.coalesce(F.min_by("bin_start_timestamp", zero), start)
+    return bins.groupBy("run_id").agg(start.alias("run_start"))
 
 
 def snap_run_starts(starts: DataFrame, metrics: DataFrame, ts: str = "datetime") -> DataFrame:

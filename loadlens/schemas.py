@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import types as T
 
 # Column names of the load tool's sample file.
@@ -57,13 +60,13 @@ WRONG = "false"
 DUPLICATE = "DUPLICATE"
 NO_TRUTH = "NO_GROUND_TRUTH"
 
-USER_BINS = T.StructType([
-    T.StructField("user_bin", T.LongType()),
-    T.StructField("bin_start_timestamp", T.TimestampType()),
-    T.StructField("avg_error_rate", T.DoubleType()),
-    T.StructField("avg_elapsed", T.DoubleType()),
-    T.StructField("request_count", T.LongType()),
-])
+USER_BINS = {
+    "user_bin": T.LongType(),
+    "bin_start_timestamp": T.TimestampType(),
+    "avg_error_rate": T.DoubleType(),
+    "avg_elapsed": T.DoubleType(),
+    "request_count": T.LongType(),
+}
 
 QA = T.StructType([
     T.StructField("question", T.StringType()),
@@ -78,12 +81,21 @@ CHAT = T.StructType([
 ])
 
 
+# Numeric columns of host metrics; core and GPU counts vary by host.
+_HOST_NUMBER = re.compile(
+    r"(cpu|gpu|ram|memory)_(.+_)?(percent|percent_total|mb|w)|emissions_kg|duration_sec")
+
+
 def host_column_type(name: str) -> T.DataType:
-    """Type of a host-metrics column, told from its name; core and GPU counts vary by host."""
+    """Type of a host-metrics column, told from its name."""
     if name == "timestamp":
         return T.LongType()
-    text = {"country", "region", "gpu_model", "cpu_model"}
-    return T.StringType() if name in text else T.DoubleType()
+    return T.DoubleType() if _HOST_NUMBER.fullmatch(name) else T.StringType()
+
+
+def layout(names: list[str], types: Callable[[str], T.DataType]) -> T.StructType:
+    """Schema of a file whose header holds ``names``."""
+    return T.StructType([T.StructField(n, types(n)) for n in names])
 
 
 def quoted(name: str) -> str:

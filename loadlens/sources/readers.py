@@ -46,29 +46,29 @@ def read_load_samples(spark: SparkSession, path: str, multi_line: bool = True) -
     a file in one task: write the result to Parquet once and analyse that.
     """
     names = _header(spark, path)
-    layout = T.StructType(
-        [T.StructField(n, T.StringType()) for n in [*names, "_extra", "_corrupt"]])
+    layout = schemas.layout([*names, "_extra", "_corrupt"], lambda _: T.StringType())
     rows = spark.read.csv(
         path, schema=layout, header=True, mode="PERMISSIVE", escape='"',
         columnNameOfCorruptRecord="_corrupt", multiLine=multi_line)
     return rows.filter("_corrupt is not null and _extra is null").drop("_extra", "_corrupt")
 
 
-def read_host_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Host metrics with however many core and GPU columns the header names."""
-    names = _header(spark, path)
-    layout = T.StructType([T.StructField(n, schemas.host_column_type(n)) for n in names])
+def read_host_metrics(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Host metrics with however many core and GPU columns the header names.
+
+    A file without ``timestamp`` is an error, or with ``strict`` off a warning.
+    """
+    layout = schemas.layout(_header(spark, path), schemas.host_column_type)
     df = spark.read.csv(path, schema=layout, header=True)
-    require_columns(df, ["timestamp"])
+    require_columns(df, ["timestamp"], strict)
     return with_file_order(df)
 
 
 def read_emissions(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Emissions with ISO timestamps, read as local time of ``zone``; sort at output only."""
-    names = _header(spark, path)
     known = {column for column, _, _ in schemas.EMISSION_METRICS}
-    layout = T.StructType([
-        T.StructField(n, T.DoubleType() if n in known else T.StringType()) for n in names])
+    layout = schemas.layout(
+        _header(spark, path), lambda n: T.DoubleType() if n in known else T.StringType())
     df = spark.read.csv(path, schema=layout, header=True)
     require_columns(df, ["timestamp"])
     return with_file_order(df).withColumn(
@@ -83,18 +83,21 @@ def read_user_bins(spark: SparkSession, paths: Sequence[str], strict: bool = Fal
     runs = []
     for run_id, path in enumerate(paths):
         try:
-            df = spark.read.csv(path, schema=schemas.USER_BINS, header=True)
+            names = _header(spark, path)
         except AnalysisException:
             if strict:
                 raise
             log.warning("run file %s not found, skipped", path)
             continue
+        layout = schemas.layout(names, lambda n: schemas.USER_BINS.get(n, T.StringType()))
+        df = spark.read.csv(path, schema=layout, header=True)
+        require_columns(df, ["bin_start_timestamp"])
         runs.append(with_file_order(df).withColumn("run_id", F.lit(run_id)))
     if not runs:
         raise ValueError("no run file found")
     bins = runs[0]
     for more in runs[1:]:
-        bins = bins.unionByName(more)
+        bins = bins.unionByName(more, allowMissingColumns=True)
     return bins
 
 
@@ -144,8 +147,7 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     Values may hold line breaks, which keeps a file in one task: write the result
     to Parquet once and evaluate that.
     """
-    names = _header(spark, path)
-    layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    layout = schemas.layout(_header(spark, path), lambda _: T.StringType())
     rows = spark.read.csv(
         path, schema=layout, header=True, multiLine=True, escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

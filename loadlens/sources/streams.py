@@ -11,7 +11,7 @@ from loadlens import schemas
 
 def stream_host_metrics(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """Host-metrics CSV files of ``folder`` as a stream; ``names`` are the header's columns."""
-    layout = T.StructType([T.StructField(n, schemas.host_column_type(n)) for n in names])
+    layout = schemas.layout(names, schemas.host_column_type)
     return spark.readStream.schema(layout).csv(folder, header=True).withColumn(
         "datetime", F.timestamp_millis("timestamp"))
 
@@ -20,6 +20,5 @@ def stream_load_samples(
     spark: SparkSession, folder: str, names: list[str] | None = None
 ) -> DataFrame:
     """Load-sample CSV files of ``folder`` as a stream of text columns."""
-    layout = T.StructType([
-        T.StructField(n, T.StringType()) for n in names or schemas.SAMPLE_COLUMNS])
+    layout = schemas.layout(names or schemas.SAMPLE_COLUMNS, lambda _: T.StringType())
     return spark.readStream.schema(layout).csv(folder, header=True, escape='"')

@@ -17,8 +17,13 @@ _HELPERS = {
 }
 
 
+# Fixed value: times in written files, without a zone (UTC).
+_TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    df.write.mode("overwrite").csv(
+        path, header=True, escape='"', emptyValue="", timestampFormat=_TIMES)
 
 
 def write_user_bins(bins: DataFrame, path: str) -> None:

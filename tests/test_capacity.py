@@ -1,6 +1,7 @@
 import csv
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,22 @@ def test_user_bins_round_trip(spark, samples, tmp_path):
         read_user_bins(spark, [str(tmp_path / "none")], strict=True)
 
 
+def test_user_bins_written_elsewhere(spark, tmp_path):
+    path = tmp_path / "run.csv"
+    path.write_text("request_count,user_bin,bin_start_timestamp,avg_error_rate,avg_elapsed\n"
+                    "3,0,2024-01-01 00:00:07.179000,1.5,20\n2,10,2024-01-01 00:01:00,,30.5\n")
+    got = read_user_bins(spark, [str(path)]).orderBy("ord").collect()
+    assert [(r.user_bin, r.bin_start_timestamp, r.avg_error_rate, r.request_count) for r in got] == [
+        (0, datetime(2024, 1, 1, 0, 0, 7, 179000), 1.5, 3), (10, datetime(2024, 1, 1, 0, 1), None, 2)]
+
+
+def test_written_bins_are_read_by_pandas(samples, tmp_path):
+    write_user_bins(capacity.user_bins(samples), str(tmp_path / "bins"))
+    parts = sorted((tmp_path / "bins").glob("part-*.csv"))
+    frame = pd.concat([pd.read_csv(p, parse_dates=["bin_start_timestamp"]) for p in parts])
+    assert [tuple(r) for r in frame.itertuples(index=False)] == BINS
+
+
 def test_response_code(spark):
     df = spark.createDataFrame([("200",), ("1200x",), ("500",), (None,)], "responsecode string")
     assert [r.success for r in capacity.assert_response_code(df).collect()] == [

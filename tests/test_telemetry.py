@@ -73,6 +73,8 @@ def test_run_starts(spark):
         "run_id int, ord int, user_bin long, bin_start_timestamp timestamp")
     got = telemetry.run_starts(bins, "ord").orderBy("run_id").collect()
     assert [r.run_start for r in got] == [at(60), at(540)]
+    first = telemetry.run_starts(bins.drop("user_bin"), "ord").orderBy("run_id").collect()
+    assert [r.run_start for r in first] == [at(120), at(540)]
 
 
 def test_snap(spark):
@@ -115,6 +117,13 @@ def test_readers(spark, tmp_path):
     got = df.orderBy("ord").collect()
     assert [(r.datetime, r.time_str, r.cpu_cores_sum) for r in got] == [
         (T0, "00:00:00", 3.5), (at(30), "00:00:30", 4.0)]
+    bare = tmp_path / "bare.csv"
+    bare.write_text("cpu_percent_total,gpu_model\n5,A\n6,B\n")
+    with pytest.raises(ValueError):
+        read_host_metrics(spark, str(bare))
+    points = telemetry.with_time(read_host_metrics(spark, str(bare), strict=False))
+    assert [(r.time_str, r.gpu_model) for r in points.orderBy("ord").collect()] == [
+        ("Point 0", "A"), ("Point 1", "B")]
     emis = tmp_path / "emissions.csv"
     emis.write_text("timestamp,project_name,emissions,cpu_power\n2024-01-01T00:00:05,p,0.5,3\n")
     row = read_emissions(spark, str(emis)).head()
