@@ -111,7 +111,8 @@ def drop_all_null_metrics(spark, sf):
 
 
 def annotate_points(spark, sf):
-    return correlate.annotate_points(stored(_phase2(spark, sf))).select("user_bin", "position")
+    return correlate.annotate_points(stored(_phase2(spark, sf))).select(
+        "user_bin", F.col("position").cast("long").alias("position"))
 
 
 def correlation_summary(spark, sf):

@@ -27,9 +27,11 @@ def with_capacity(spark, sf):
 
 
 def moving_average(spark, sf):
+    # Positions are written out, so only the columns in use go in.
+    host = t.host_metrics(spark, sf).select(
+        "run_id", "ord", "datetime", "cpu_cores_sum", "cpu_1_percent")
     df = telemetry.moving_average(
-        t.host_metrics(spark, sf), ["cpu_cores_sum", "cpu_1_percent"], "datetime", _ORDER,
-        ["run_id"])
+        host, ["cpu_cores_sum", "cpu_1_percent"], _ORDER, ["run_id"])
     return df.select("run_id", "ord", F.round("cpu_cores_sum_ma", 6).alias("cpu_cores_sum_ma"),
                      F.round("cpu_1_percent_ma", 6).alias("cpu_1_percent_ma"))
 
@@ -82,8 +84,8 @@ def telemetry_summary(spark, sf):
 
 
 def sample_ticks(spark, sf):
-    return telemetry.sample_ticks(t.host_metrics(spark, sf), "datetime", _ORDER).select(
-        "ord", "time_str", "position")
+    host = t.host_metrics(spark, sf).select("ord", "datetime", "time_str")
+    return telemetry.sample_ticks(host, _ORDER).drop("datetime")
 
 
 QUERIES = {

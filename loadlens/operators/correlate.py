@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens import schemas
-from loadlens.functions.numbers import floor_bin, micros
+from loadlens.functions.numbers import micros
 from loadlens.operators.telemetry import cores_sum, core_columns, unpivot_metrics
 from loadlens.plans.nearest import nearest_match
-from loadlens.plans.position import with_position
 
 TOLERANCE = 30
 _BIN_TS = "bin_start_timestamp"
@@ -174,10 +173,15 @@ def drop_all_null_metrics(series: DataFrame) -> DataFrame:
 def annotate_points(
     correlated: DataFrame, order_by: Sequence[str] = ("user_bin",), labels: int = 5
 ) -> DataFrame:
-    """Every (rows div ``labels``)-th row, at least every row."""
-    placed = with_position(correlated, order_by, floor_bin(F.col(order_by[0]), 1000))
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / labels))
-    return placed.filter(F.col("position") % step == 0).drop("total")
+    """Every (rows div ``labels``)-th row, at least every row.
+
+    The table holds one row per kept user bin, so one task orders it.
+    """
+    placed = correlated.withColumns({
+        "position": F.row_number().over(Window.orderBy(*order_by)) - 1,
+        "_total": F.count(F.lit(1)).over(Window.partitionBy())})
+    step = F.greatest(F.lit(1), F.floor(F.col("_total") / labels))
+    return placed.filter(F.col("position") % step == 0).drop("_total")
 
 
 def correlation_summary(correlated: DataFrame) -> DataFrame:

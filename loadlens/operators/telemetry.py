@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from loadlens import schemas
 from loadlens.functions.numbers import epoch_ms_to_timestamp
 from loadlens.plans.nearest import first_at_or_after
-from loadlens.plans.position import time_bucket, with_position
+from loadlens.plans.position import with_position
 
 # Fixed value: per-core columns of a host.
 _CORE = re.compile(r"cpu_.*_percent")
@@ -26,11 +26,10 @@ def core_columns(df: DataFrame) -> list[str]:
 def with_time(df: DataFrame) -> DataFrame:
     """Add ``datetime`` and the clock label ``time_str`` to epoch-ms ``timestamp``.
 
-    Without a timestamp the label is the row's place in its file, counted per block.
+    Without a timestamp the label is the row's place in file order.
     """
     if "timestamp" not in df.columns:
-        block = F.struct("ord.file", "ord.block")
-        placed = with_position(df, ["ord"], block, position="_place").drop("total")
+        placed = with_position(df, ["ord"], position="_place").drop("total")
         return placed.withColumn(
             "time_str", F.concat(F.lit("Point "), F.col("_place"))).drop("_place")
     ts = F.col("timestamp")
@@ -70,39 +69,32 @@ def with_capacity(df: DataFrame) -> DataFrame:
 
 
 def moving_average(
-    df: DataFrame,
-    cols: Sequence[str],
-    ts: str,
-    order_by: Sequence[str],
-    group: Sequence[str] = (),
-    n: int = 5,
-    slice_seconds: int = 600,
-    chunk: int = 4096,
+    df: DataFrame, cols: Sequence[str], order_by: Sequence[str], group: Sequence[str] = (),
+    n: int = 5, chunk: int = 4096,
 ) -> DataFrame:
     """Add ``<col>_ma``, the centred ``n``-row average in ``order_by`` order per group.
 
     Missing values are ignored; at the ends the average is over the rows there are.
-    ``order_by`` starts with the timestamp ``ts``.  Rows get their position in the
-    group, then each chunk of positions is averaged on its own together with the
-    few rows just outside it, so one long run spreads over many tasks.
+    Rows get their ``position`` in the group, unless :func:`with_position` has given
+    it; each chunk of positions is then averaged on its own together with the few
+    rows just outside it, so one long run spreads over many tasks.
     """
     after = (n - 1) // 2
     before = n - 1 - after
-    placed = with_position(
-        df, order_by, time_bucket(F.col(ts), slice_seconds), group, "_pos", "_total")
-    offset = F.pmod(F.col("_pos"), F.lit(chunk))
-    home = F.col("_pos") - offset
+    placed = df if "position" in df.columns else with_position(df, order_by, group).drop("total")
+    offset = F.pmod(F.col("position"), F.lit(chunk))
+    home = F.col("position") - offset
     homes = F.array_compact(F.array(
         home,
         F.when(offset >= chunk - before, home + chunk),
         F.when(offset < after, home - chunk),
     ))
     spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(homes))
-    around = Window.partitionBy(*group, "_chunk").orderBy("_pos").rowsBetween(-before, after)
+    around = Window.partitionBy(*group, "_chunk").orderBy("position").rowsBetween(-before, after)
     return (
         spread.withColumns({f"{c}_ma": F.avg(c).over(around) for c in cols})
         .filter("_chunk = _home")
-        .drop("_pos", "_total", "_home", "_chunk")
+        .drop("_home", "_chunk")
     )
 
 
@@ -168,23 +160,15 @@ def telemetry_summary(df: DataFrame, ts: str = "datetime") -> DataFrame:
         F.count(F.lit(1)).alias("points"), *ranges)
 
 
-def sample_ticks(
-    df: DataFrame, ts: str, order_by: Sequence[str], k: int = 8, slice_seconds: int = 600
-) -> DataFrame:
+def sample_ticks(df: DataFrame, order_by: Sequence[str], k: int = 8) -> DataFrame:
     """Up to ``k`` evenly spaced rows with their ``position``.
 
-    Only the time slices that hold a tick are ordered.
+    Takes the positions of :func:`with_position` if ``df`` has them.
     """
-    def ticks(total: Column) -> Column:
-        steps = F.least(F.lit(k).cast("long"), total) - 1
-        return F.transform(
-            F.sequence(F.lit(0).cast("long"), steps),
-            lambda i: F.when(steps == 0, 0).otherwise(F.floor(i * (total - 1) / steps)))
-
-    def holds_tick(first: Column, last: Column, total: Column) -> Column:
-        return F.exists(ticks(total), lambda p: (p >= first) & (p <= last))
-
-    placed = with_position(
-        df, order_by, time_bucket(F.col(ts), slice_seconds), keep=holds_tick)
-    return placed.filter(
-        F.array_contains(ticks(F.col("total")), F.col("position"))).drop("total")
+    placed = df if {"position", "total"} <= set(df.columns) else with_position(df, order_by)
+    total = F.col("total")
+    steps = F.least(F.lit(k).cast("long"), total) - 1
+    ticks = F.transform(
+        F.sequence(F.lit(0).cast("long"), steps),
+        lambda i: F.when(steps == 0, 0).otherwise(F.floor(i * (total - 1) / steps)))
+    return placed.filter(F.array_contains(ticks, F.col("position"))).drop("total")

@@ -2,57 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadlens.functions.numbers import micros
+from loadlens.sources.store import stored
 
-_BEFORE_TIME = -(1 << 62)
-
-
-def time_bucket(ts: Column, seconds: int) -> Column:
-    """Start of the time slice of ``ts``, in microseconds; missing times come first."""
-    us = micros(ts)
-    return F.coalesce(us - F.pmod(us, F.lit(seconds * 1_000_000)), F.lit(_BEFORE_TIME))
+# A generated row id holds the partition above this many bits.
+_ROW_BITS = 33
 
 
 def with_position(
-    df: DataFrame,
-    order_by: Sequence[str],
-    bucket: Column,
-    group: Sequence[str] = (),
-    position: str = "position",
-    total: str = "total",
-    keep: Callable[[Column, Column, Column], Column] | None = None,
+    df: DataFrame, order_by: Sequence[str], group: Sequence[str] = (),
+    position: str = "position", total: str = "total",
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, and the group's row count.
 
-    ``bucket`` must rise with ``order_by`` and cut a group into slices that one
-    task can sort.  Rows per slice are counted first (combined map-side); running
-    sums over those counts, one row per slice, give each slice its offset.  So a
-    hot group is spread over as many tasks as it has slices.  ``keep(first, last,
-    total)`` drops slices without wanted positions before any row is shuffled.
-    Group columns must not be null.
+    The table is range-partitioned on group and order, whose bounds Spark samples,
+    so a hot group, hour or timestamp spreads over as many tasks as it needs as
+    long as the order tells its rows apart.  The sorted rows are written once to the
+    shared folder, each with its partition and place; that fixes the bounds for
+    the counts and the rows alike.  Offsets are one row per partition and group.
     """
-    keys = [*group, "_bucket"]
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    keys = [*group, *order_by]
+    placed = stored(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id() % (1 << _ROW_BITS)))
+    counts = placed.groupBy("_part", *group).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"))
     whole = Window.partitionBy(*group)
-    running = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = counts.select(
-        *keys,
-        (F.sum("_rows").over(running) - F.col("_rows")).alias("_before"),
-        F.col("_rows"),
-        F.sum("_rows").over(whole).alias(total),
-    )
-    if keep is not None:
-        first = F.col("_before")
-        slices = slices.filter(keep(first, first + F.col("_rows") - 1, F.col(total)))
-    local = Window.partitionBy(*keys).orderBy(*order_by)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(counts.select(
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group],
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_rows").over(whole).alias(total)))
+    same = [F.col("_part") == F.col("_p")] + [
+        F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
     return (
-        keyed.join(slices.drop("_rows"), keys)
-        .withColumn(position, F.col("_before") + F.row_number().over(local) - 1)
-        .drop("_bucket", "_before")
+        placed.join(offsets, same)
+        .withColumn(position, F.col("_row") + F.col("_shift"))
+        .drop("_part", "_row", "_p", "_shift", *[f"_g_{g}" for g in group])
     )

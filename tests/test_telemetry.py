@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loadlens.functions.columns import require_columns
 from loadlens.operators import telemetry
+from loadlens.plans.position import with_position
 from loadlens.sources.readers import read_emissions, read_host_metrics
+from loadlens.sources.store import stored
 
 T0 = datetime(2024, 1, 1)
 
@@ -20,12 +22,12 @@ def test_moving_average_fixture(spark):
     values = [1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0]
     df = spark.createDataFrame(
         [(i, at(30 * i), v) for i, v in enumerate(values)], "ord int, ts timestamp, v double")
-    got = telemetry.moving_average(df, ["v"], "ts", ["ts", "ord"]).orderBy("ord").collect()
+    got = telemetry.moving_average(df, ["v"], ["ts", "ord"]).orderBy("ord").collect()
     assert [r.v_ma for r in got] == pytest.approx([1.5, 7 / 3, 3.0, 4.25, 5.5, 5.5, 6.0])
 
 
-@pytest.mark.parametrize("n, chunk, slice_seconds", [(5, 4, 60), (4, 3, 600), (5, 1000, 3600), (1, 2, 30)])
-def test_moving_average_is_pandas_rolling(spark, n, chunk, slice_seconds):
+@pytest.mark.parametrize("n, chunk", [(5, 4), (4, 3), (5, 1000), (1, 2)])
+def test_moving_average_is_pandas_rolling(spark, n, chunk):
     rng = np.random.default_rng(n)
     frames = []
     for run in range(3):
@@ -39,8 +41,7 @@ def test_moving_average_is_pandas_rolling(spark, n, chunk, slice_seconds):
     df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None))).withColumn(
         "ts", F.timestamp_seconds("sec"))
     got = telemetry.moving_average(
-        df, ["v"], "ts", ["ts", "ord"], ["run_id"], n, slice_seconds, chunk,
-    ).orderBy("run_id", "ord").toPandas()
+        df.repartition(5), ["v"], ["ts", "ord"], ["run_id"], n, chunk).orderBy("run_id", "ord").toPandas()
     want = pdf.groupby("run_id")["v"].transform(
         lambda s: s.rolling(n, center=True, min_periods=1).mean())
     assert len(got) == len(pdf)
@@ -49,10 +50,33 @@ def test_moving_average_is_pandas_rolling(spark, n, chunk, slice_seconds):
 
 def test_rows_without_time_are_kept(spark):
     df = spark.createDataFrame([(0, None, 1.0), (1, at(0), 3.0)], "ord int, ts timestamp, v double")
-    got = telemetry.moving_average(df, ["v"], "ts", ["ts", "ord"]).collect()
+    got = telemetry.moving_average(df, ["v"], ["ts", "ord"]).collect()
     assert sorted((r.ord, r.v_ma) for r in got) == [(0, 2.0), (1, 2.0)]
 
 
+def test_positions_of_a_hot_timestamp_spread(spark, monkeypatch):
+    rows = spark.range(20_000).select(
+        F.col("id"), (F.col("id") % 2).alias("g"),
+        F.timestamp_seconds(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("ts"))
+    written = []
+
+    def keep(df):
+        written.append(stored(df))
+        return written[-1]
+
+    monkeypatch.setattr("loadlens.plans.position.stored", keep)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = with_position(rows.repartition(6), ["ts", "id"], ["g"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in written[0].groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 20_000 / 4
+    frame = got.toPandas().sort_values(["g", "ts", "id"])
+    assert (frame["position"].to_numpy() == np.tile(np.arange(10_000), 2)).all()
+    assert (frame["total"] == 10_000).all()
+
+
 def test_core_sum_and_fallback(spark):
     df = spark.createDataFrame(
         [(10.0, None, 99.0)], "cpu_0_percent double, cpu_1_percent double, cpu_percent_total double")
@@ -89,7 +113,7 @@ def test_snap(spark):
 @pytest.mark.parametrize("n", [1, 2, 5, 8, 9, 100])
 def test_ticks_are_linspace(spark, n):
     df = spark.range(n).withColumn("ts", F.timestamp_seconds(F.col("id") * 700))
-    got = telemetry.sample_ticks(df, "ts", ["ts"])
+    got = telemetry.sample_ticks(df, ["ts"])
     want = np.linspace(0, n - 1, min(8, n), dtype=int).tolist()
     assert sorted(r.position for r in got.collect()) == want
     assert sorted(r.id for r in got.collect()) == want
