@@ -107,7 +107,7 @@ def drop_all_null_metrics(spark, sf):
     blank = F.lit(None).cast("double")
     df = correlate.concat_runs(stored(_host(spark, sf))).withColumn("gpu_util", blank)
     series = correlate.correlation_series(df, ["cpu_usage", "memory_percent", "gpu_util"])
-    return correlate.drop_all_null_metrics(series)
+    return correlate.drop_all_null_metrics(series).withColumn("value", F.round("value", 6))
 
 
 def annotate_points(spark, sf):

@@ -124,11 +124,9 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
-    """Question and answer pairs; a bad line is skipped."""
+    """Question and answer pairs as they stand; a bad line is skipped."""
     fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
-    return read_lines(spark, path).select("ord", fields).withColumns({
-        c: strip(F.col(c)) for c in ("question", "answer")
-    }).filter("question is not null and answer is not null")
+    return read_lines(spark, path).select("ord", fields).filter("question is not null")
 
 
 def keep_answered(spans: DataFrame) -> DataFrame:
