@@ -57,11 +57,12 @@ ev AS (
 def load_samples(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Raw load samples under the load tool's column names."""
     failed = F.col("event_type") == "error"
+    hundredths = F.floor(F.col("value") * 100 + 0.5)
     return _events(spark, sf_dir, stream).select(
         F.col("event_id").alias("ord"),
         run_of(F.col("ts")).alias("run_id"),
         F.unix_millis("ts").alias("timeStamp"),
-        F.round(F.col("value") * 100).cast("long").alias("elapsed"),
+        hundredths.alias("elapsed"),
         F.when(F.col("event_type") == "signup", "Debug Sampler")
         .otherwise(schemas.HTTP_SAMPLER).alias("label"),
         F.when(failed, "500").otherwise("200").alias("responseCode"),
@@ -70,7 +71,7 @@ def load_samples(spark: SparkSession, sf_dir: str, stream: bool = False) -> Data
         (F.col("k") + 100).alias("bytes"),
         (F.col("k") + 50).alias("sentBytes"),
         F.col("user_id").alias("allThreads"),
-        F.round(F.col("value") * 100).cast("long").alias("Latency"),
+        hundredths.alias("Latency"),
     )
 
 
