@@ -93,7 +93,7 @@ def nearest_match(
 
 def first_at_or_after(
     points: DataFrame, ticks: DataFrame, point_ts: str, tick_ts: str, name: str,
-    slice_seconds: int = 3600,
+    slice_seconds: int = 60,
 ) -> DataFrame:
     """Add the first tick time at or after each point, missing where there is none.
 

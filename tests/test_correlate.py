@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loadlens.operators import correlate, telemetry
+from loadlens.sources.writers import write_correlated, write_traces
 
 T0 = datetime(2024, 1, 1)
 
@@ -152,3 +153,39 @@ def test_snap_plan_has_no_cross_join(spark):
     starts = telemetry.run_starts(make_bins(spark))
     plan = telemetry.snap_run_starts(starts, make_host(spark))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_written_tables(spark, tmp_path):
+    found = correlate.correlate_phase2(
+        make_bins(spark).filter("run_id = 1"), make_host(spark), ["ord"])
+    write_correlated(found, str(tmp_path / "correlated"))
+    back = spark.read.csv(str(tmp_path / "correlated"), header=True, inferSchema=True)
+    assert back.columns == found.columns
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in found.collect())
+    write_traces(found, str(tmp_path / "traces"))
+    assert spark.read.parquet(str(tmp_path / "traces")).exceptAll(found).count() == 0
+
+
+def test_optional_metrics_and_total_cpu(spark):
+    host = make_host(spark).withColumns({
+        "cpu_percent_total": F.col("ord") * 2.0, "gpu_0_util_percent": F.lit(7)})
+    bins = make_bins(spark)
+    got = correlate.correlate_host(bins, host, ["ord"]).orderBy("run_id", "user_bin").collect()
+    assert [(r.cpu_usage, r.gpu_util, r.gpu_mem) for r in got][1] == (2.0, 7.0, None)
+    cores = host.withColumns({"cpu_0_percent": F.lit(1.5), "cpu_1_percent": F.lit(None).cast("double")})
+    phase2 = correlate.correlate_phase2(bins.filter("run_id = 1"), cores, ["ord"]).collect()
+    assert {(r.cpu_usage, r.cpu_cores_count) for r in phase2} == {(1.5, 2)}
+    emissions = make_host(spark).select(
+        "ord", F.col("datetime").alias("timestamp"), F.lit(3.0).alias("cpu_power"))
+    row = correlate.correlate_emissions(bins, emissions, ["ord"]).head()
+    assert row.cpu_power == 3.0 and row.energy_consumed is None
+    summary = correlate.correlation_summary(correlate.correlate_phase2(
+        bins.filter("run_id = 1"), cores, ["ord"])).head()
+    assert (summary.points, summary.user_bin_min, summary.user_bin_max) == (2, 0, 100)
+
+
+def test_times_without_zone(spark):
+    bins = make_bins(spark).withColumn(
+        "bin_start_timestamp", F.col("bin_start_timestamp").cast("timestamp_ntz"))
+    host = make_host(spark).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    assert correlate.correlate_host(bins, host, ["ord"]).count() == 4
