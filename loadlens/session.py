@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the call site of every column expression slows down building a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
