@@ -36,23 +36,35 @@ def with_file_order(df: DataFrame) -> DataFrame:
     ))
 
 
-def read_load_samples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Load-tool samples, all columns as text.
+# Options and extra columns with which ragged rows of a CSV file can be told apart.
+RAGGED = {"header": True, "mode": "PERMISSIVE", "escape": '"',
+          "columnNameOfCorruptRecord": "_corrupt"}
+
+
+def ragged_layout(names: Sequence[str]) -> T.StructType:
+    """Text columns ``names`` and the two columns :func:`drop_surplus` looks at."""
+    return schemas.layout([*names, "_extra", "_corrupt"], lambda _: T.StringType())
 
-    Rows with surplus fields are dropped, short rows are padded with missing
-    values.  The declared layout is one field wider than the header, so every
-    good row counts as incomplete while a row that fills the extra field, or
-    overflows it, has too many.  Quoted fields may hold line breaks, which keeps
-    a file in one task: write the result to Parquet once and analyse that.
+
+def drop_surplus(rows: DataFrame) -> DataFrame:
+    """Rows without surplus fields; short rows stay, padded with missing values.
+
+    The declared layout is one field wider than the header, so every good row counts
+    as incomplete, while a row that fills the extra field or overflows it has too many.
     """
-    names = _header(spark, path)
-    layout = schemas.layout([*names, "_extra", "_corrupt"], lambda _: T.StringType())
-    rows = spark.read.csv(
-        path, schema=layout, header=True, mode="PERMISSIVE", escape='"',
-        columnNameOfCorruptRecord="_corrupt", multiLine=multi_line)
     return rows.filter("_corrupt is not null and _extra is null").drop("_extra", "_corrupt")
 
 
+def read_load_samples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Load-tool samples, all columns as text, without rows that have surplus fields.
+
+    Quoted fields may hold line breaks, which keeps a file in one task: write the
+    result to Parquet once and analyse that.
+    """
+    layout = ragged_layout(_header(spark, path))
+    return drop_surplus(spark.read.csv(path, schema=layout, multiLine=multi_line, **RAGGED))
+
+
 def read_host_metrics(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Host metrics with however many core and GPU columns the header names.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loadlens import schemas
+from loadlens.sources.readers import RAGGED, drop_surplus, ragged_layout
 
 
 def stream_host_metrics(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
@@ -20,5 +20,6 @@ def stream_load_samples(
     spark: SparkSession, folder: str, names: list[str] | None = None
 ) -> DataFrame:
     """Load-sample CSV files of ``folder`` as a stream of text columns."""
-    layout = schemas.layout(names or schemas.SAMPLE_COLUMNS, lambda _: T.StringType())
-    return spark.readStream.schema(layout).csv(folder, header=True, escape='"')
+    layout = ragged_layout(names or schemas.SAMPLE_COLUMNS)
+    return drop_surplus(
+        spark.readStream.schema(layout).csv(folder, multiLine=True, **RAGGED))

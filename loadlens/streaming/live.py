@@ -6,7 +6,8 @@ reach and returns the query; output of a repeated batch replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,17 +50,34 @@ def live_user_bins(samples: DataFrame, width: int = 10) -> DataFrame:
     )
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
+    """Queries started inside keep their state in ``n`` partitions, by default one per core.
+
+    A query keeps the number it first started with, so choose it for the load to come.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _start(df: DataFrame, mode: str, folder: str, write, once: bool) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).option(
         "checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state_partitions(df.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def run_append(df: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
     """Append finished rows to Parquet under ``folder``/rows."""
     writer = df.writeStream.outputMode("append").format("parquet").option(
         "checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state_partitions(df.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def run_user_bins(
