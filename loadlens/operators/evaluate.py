@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loadlens import schemas
 from loadlens.functions.numbers import micros
 from loadlens.functions.text import FAILED, last_number, parse_reply, same_answer
+from loadlens.sources.store import stored
 
 Extractor = Callable[[Column], Column]
 
@@ -29,8 +30,13 @@ def _with_order(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, list
 
 
 def _attach(rows: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on the row identity, which no hot question can skew."""
-    right = marks.withColumnsRenamed({k: f"{k}_r" for k in keys})
+    """Left join on the row identity, which no hot question can skew.
+
+    Marks, one row per question, are stored first: their true size decides whether
+    they are broadcast, and whatever made them runs once however often the result
+    is used.
+    """
+    right = stored(marks.withColumnsRenamed({k: f"{k}_r" for k in keys}))
     on = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]
     return rows.join(right, on, "left").drop(*keys, *[f"{k}_r" for k in keys])
 
@@ -98,7 +104,7 @@ def evaluate(
 ) -> DataFrame:
     """All spans with ``correctness``: true, false, DUPLICATE or NO_GROUND_TRUTH.
 
-    The extractor sees one row per question with a truth and nothing else.
+    The extractor sees one row per question with a truth and nothing else, once.
     """
     rows, keys = _with_order(spans, order_by)
     # The condition both branches below share, so that they share one shuffle.

@@ -151,7 +151,7 @@ def keep_answered(spans: DataFrame) -> DataFrame:
     )
 
 
-def read_spans(spark: SparkSession, path: str) -> DataFrame:
+def read_spans(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Trace spans as text with ``question`` and ``generated_answer`` added.
 
     Values may hold line breaks, which keeps a file in one task: write the result
@@ -159,7 +159,7 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     """
     layout = schemas.layout(_header(spark, path), lambda _: T.StringType())
     rows = spark.read.csv(
-        path, schema=layout, header=True, multiLine=True, escape='"',
+        path, schema=layout, header=True, multiLine=multi_line, escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return keep_answered(with_file_order(rows))
 
