@@ -23,7 +23,8 @@ _TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 def _write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(
-        path, header=True, escape='"', emptyValue="", timestampFormat=_TIMES)
+        path, header=True, escape='"', emptyValue="", timestampFormat=_TIMES,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_user_bins(bins: DataFrame, path: str) -> None:
@@ -42,15 +43,15 @@ def prompt_lines(qa: DataFrame) -> DataFrame:
 
 
 def write_prompts(qa: DataFrame, path: str, order_by: str = "ord") -> None:
-    """Prompts as an unquoted pipe-delimited file of one column.
+    """Prompts as an unquoted pipe-delimited file of one column, the header line first.
 
-    The CSV sink writes the header line into each part; values are escaped
-    already, so quoting and escaping are turned off.
+    Written as text, as the CSV sink quotes what needs escaping.
     """
-    lines = prompt_lines(qa).orderBy(order_by).select(F.col("value").alias("prompt"))
-    lines.write.mode("overwrite").csv(
-        path, header=True, sep="|", quote="", escape="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False)
+    lines = prompt_lines(qa).select(F.lit(1).alias("_after"), order_by, "value")
+    header = qa.sparkSession.range(1).select(
+        F.lit(0).alias("_after"), F.lit("prompt").alias("value"))
+    header.unionByName(lines, allowMissingColumns=True).orderBy("_after", order_by).select(
+        "value").write.mode("overwrite").text(path)
 
 
 def write_qa(qa: DataFrame, path: str, order_by: str = "ord") -> None:
@@ -76,9 +77,10 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
-def export_spans(spans: DataFrame, path: str, limit: int = 1_000_000) -> None:
-    """At most ``limit`` spans as CSV."""
-    _write_csv(spans.drop("ord").limit(limit), path)
+def export_spans(spans: DataFrame, path: str, limit: int | None = 1_000_000) -> None:
+    """At most ``limit`` spans as CSV, all of them without a limit."""
+    rows = spans.drop("ord")
+    _write_csv(rows if limit is None else rows.limit(limit), path)
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
