@@ -19,18 +19,22 @@ def _neighbours(points: DataFrame, ticks: DataFrame, width: int, reach: int) ->
 
     Only ticks in the same slice or up to ``reach`` slices away are seen.  ``ticks``
     holds us, ord and payload.  Ticks are first cut down to the slices that hold a
-    point, then to one per clock reading, so a slice is no larger than its clock
-    allows however many rows share a reading.
+    point, then to one per clock reading, and to the closest one of the slices on
+    either side.  So a slice is no larger than its clock allows however many rows
+    share a reading.
     """
     at = points.select("us", _slice(F.col("us"), width).alias("slice")).distinct()
     steps = F.array(*[F.col("slice") + F.lit(i * width) for i in range(-reach, reach + 1)])
     wanted = at.select("slice").distinct().select("slice", F.explode(steps).alias("tick_slice"))
+    side = F.signum(F.col("tick_slice") - F.col("slice"))
+    outward = F.struct(F.when(F.col("side") < 0, -F.col("us")).otherwise(F.col("us")), "ord")
     hits = (
         ticks.withColumn("tick_slice", _slice(F.col("us"), width))
         .join(wanted, "tick_slice")
-        .groupBy("slice", "us")
-        .agg(F.min("ord").alias("ord"), F.min_by("payload", "ord").alias("payload"))
-        .select("slice", "us", F.struct("us", "ord", "payload").alias("hit"))
+        .withColumn("side", side)
+        .groupBy("slice", "side", F.when(F.col("side") == 0, F.col("us")).alias("reading"))
+        .agg(F.min_by(F.struct("us", "ord", "payload"), outward).alias("hit"))
+        .select("slice", "hit.us", "hit")
     )
     marked = at.withColumn("is_point", F.lit(True)).unionByName(hits, allowMissingColumns=True)
     upward = Window.partitionBy("slice").orderBy("us").rangeBetween(
