@@ -1,4 +1,4 @@
-"""The reference tables as views of the test tables, in Spark and as SQL.
+"""The library's input tables as views of the test tables, in Spark and as SQL.
 
 Each function and the SQL text of the same name compute the same rows.
 """

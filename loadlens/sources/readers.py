@@ -118,14 +118,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return with_file_order(spark.read.text(path))
 
 
+def _question_and_answer(lines: DataFrame) -> DataFrame:
+    """``question`` and ``answer`` of JSON lines in place of ``value``.
+
+    Parsing stops at the end of the object; a line that goes on after it is bad.
+    """
+    others = [c for c in lines.columns if c != "value"]
+    whole = F.rtrim("value", F.lit(" \t\r\n")).endswith("}")
+    fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
+    return lines.filter(whole).select(*others, fields)
+
+
 def parse_benchmark(lines: DataFrame) -> DataFrame:
     """Question and answer of JSON lines, trimmed.
 
     Blank lines, invalid JSON and rows without a question or an answer are left out.
     """
-    others = [c for c in lines.columns if c != "value"]
-    fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
-    return lines.select(*others, fields).withColumns({
+    return _question_and_answer(lines).withColumns({
         c: strip(F.col(c)) for c in ("question", "answer")
     }).filter("question <> '' and answer <> ''")
 
@@ -137,8 +146,7 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
     """Question and answer pairs as they stand; a bad line is skipped."""
-    fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
-    return read_lines(spark, path).select("ord", fields).filter("question is not null")
+    return _question_and_answer(read_lines(spark, path)).filter("question is not null")
 
 
 def keep_answered(spans: DataFrame) -> DataFrame:

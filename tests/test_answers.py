@@ -201,3 +201,18 @@ def test_failed_extractor(spark):
     default = spark.createDataFrame(
         [("costs 1,234 or 2.5.",), ("none here",)], "generated_answer string")
     assert [r.extracted_answer for r in evaluate.extract_answer(default).collect()] == ["2.5", "NONE"]
+
+
+@pytest.mark.parametrize("line, kept", [
+    ('{"question":"a","answer":"b"}', True),
+    ('{"question":"a","answer":"b"', False),
+    ('{"question":"a","answer":', False),
+    ('{"question":"a"}', False),
+    ('{"answer":"b","question":"a","more":[1,{"x":2}]}', True),
+    ('  {"question":"a","answer":"b"}  ', True),
+    ("[]", False), ("5", False), ('"text"', False),
+    ('{"question":"a","answer":"b"} trailing', False),
+])
+def test_json_lines(spark, line, kept):
+    df = spark.createDataFrame([(0, line)], "ord int, value string")
+    assert (readers.parse_benchmark(df).count() == 1) is kept
