@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loadlens.catalog import Query
-from loadlens.llm import minhash
+from loadlens.llm import decontaminate, language, line_templates, minhash, mixing, nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,43 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the best window."""
+    return decontaminate.matches(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return nbsvm.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of lines dropped and the digest of what is left."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", "n_chars_dropped",
+        F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and the number of its single-language spans."""
+    return language.identify(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score",
+        F.size("spans").cast("long").alias("n_spans"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(mixing.sized(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_minhash": Query(op1_minhash),
+    "op2_decontamination": Query(op2_decontamination),
+    "op4_quality": Query(op4_quality),
+    "op7_line_dedup": Query(op7_line_dedup, line_templates.SQL),
+    "op8_language": Query(op8_language),
+    "op9_mixing": Query(op9_mixing, mixing.SQL),
 }
