@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.catalog import Query
-from loadlens.llm import decontaminate, language, line_templates, minhash, mixing, nbsvm
+from loadlens.llm import (
+    decontaminate, language, line_templates, minhash, mixing, nbsvm, suffixes)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier document, and the digest of the rest."""
+    return suffixes.repeated_bytes(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_minhash": Query(op1_minhash),
     "op2_decontamination": Query(op2_decontamination),
@@ -57,4 +63,5 @@ QUERIES = {
     "op7_line_dedup": Query(op7_line_dedup, line_templates.SQL),
     "op8_language": Query(op8_language),
     "op9_mixing": Query(op9_mixing, mixing.SQL),
+    "op10_suffixes": Query(op10_suffixes),
 }
