@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadlens.llm.words import U64, constants, mix, slices
 
@@ -191,15 +192,20 @@ def _viterbi(ids: np.ndarray, offsets: np.ndarray, scores: np.ndarray,
     return best
 
 
-def label(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
-    """``docs`` (doc_id, held_out, text) as doc_id, held_out, lang_pred, score and spans.
+def label(docs: DataFrame, model: Model, penalty: float = SWITCH,
+          keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with lang_pred, score and spans by its column text.
 
-    Spans are maximal runs of words (start, words, lang) of one language on the best path; words
-    are runs of letters.  lang_pred is the language of most letters, the first in text order on
-    a tie, and score its share of the letters.  A text that is null or has no letter, or any
-    text when nothing was learned, is ``und`` with score 0 and no spans.
+    ``keep`` names the columns to return besides (all if not given); columns with the names of
+    the new ones are replaced.  Spans are maximal runs of words (start, words, lang) of one
+    language on the best path; words are runs of letters.  lang_pred is the language of most
+    letters, the first in text order on a tie, and score its share of the letters.  A text that
+    is null or has no letter, or any text when nothing was learned, is ``und`` with score 0 and
+    no spans.
     """
     languages = [*model.languages]
+    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "spans")]
+    docs = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,12 +238,13 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
                     pa.array(np.array(languages, object)[path[begin]], pa.string())],
                     ["start", "words", "lang"]))
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()),
-             pa.array(share), spans], ["doc_id", "held_out", "lang_pred", "score", "spans"])
+            [*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(share),
+             spans], [*keep, "lang_pred", "score", "spans"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double, "
-             "spans array<struct<start: long, words: long, lang: string>>")
+    added = T.StructType.fromDDL(
+        "lang_pred string, score double, "
+        "spans array<struct<start: bigint, words: bigint, lang: string>>")
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + added.fields))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
@@ -248,13 +255,15 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % by
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Language of every document, learned from the documents that carry one.
 
-    Documents whose crc32(doc_id) mod 3 is 1, or that have no doc_id, are not learned from.
-    Repeated rows get equal results; columns beyond doc_id, text and lang are not read.
+    Returns ``keep`` (doc_id if not given), held_out, lang_pred, score and spans.  Documents
+    whose crc32(doc_id) mod 3 is 1 are held out, and those without doc_id are not learned from
+    either.  Repeated rows get equal results; columns beyond doc_id, text and lang are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rest = remainder(F.col("doc_id"), 3)
+    rest = remainder(F.col("doc_id").cast("long"), 3)
     model = train(docs.filter(rest != 1))
-    return label(docs.withColumn("held_out", F.coalesce(rest == 1, F.lit(False))), model)
+    keep = [c for c in keep or ["doc_id"] if c != "held_out"]
+    return label(docs.withColumn("held_out", F.coalesce(rest == 1, F.lit(False))), model,
+                 keep=[*keep, "held_out"])

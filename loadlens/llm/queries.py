@@ -41,7 +41,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document and the number of its single-language spans."""
     return language.identify(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "held_out", "lang_pred", "score",
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "lang_pred", "score",
         F.size("spans").cast("long").alias("n_spans"))
 
 
