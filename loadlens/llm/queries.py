@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loadlens.catalog import Query
 from loadlens.llm import (
-    decontaminate, language, line_templates, minhash, mixing, nbsvm, suffixes)
+    bm25, decontaminate, language, line_templates, minhash, mixing, nbsvm, passages, suffixes,
+    warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,35 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, with their linkage and content."""
+    records = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    names = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id",
+             "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri",
+             "WARC-Block-Digest": "block_digest", "Content-Type": "content_type"}
+    return records.select(
+        "page_id", *(warc.header(n).alias(c) for n, c in names.items()),
+        F.octet_length("block").cast("long").alias("content_length"),
+        F.col("block").cast("string").alias("content"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return nbsvm.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the words of every hundredth document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25.top_k(docs, queries, 10)
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents have in common."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number of lines dropped and the digest of what is left."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,7 +84,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": Query(op1_minhash),
     "op2_decontamination": Query(op2_decontamination),
+    "op3_warc": Query(op3_warc),
     "op4_quality": Query(op4_quality),
+    "op5_bm25": Query(op5_bm25),
+    "op6_passages": Query(op6_passages),
     "op7_line_dedup": Query(op7_line_dedup, line_templates.SQL),
     "op8_language": Query(op8_language),
     "op9_mixing": Query(op9_mixing, mixing.SQL),
