@@ -19,7 +19,7 @@ def extract_qa(spark, sf):
 
 
 def head_lines(spark, sf):
-    return qa.extract_qa(t.benchmark_lines(spark, sf), 1500).select("ord", "answer")
+    return qa.extract_qa(t.benchmark_lines(spark, sf), 150).select("ord", "answer")
 
 
 def parse_benchmark(spark, sf):
@@ -41,11 +41,11 @@ def final_answer(spark, sf):
 
 _QA_SQL = f"""
 lines AS (
-  SELECT doc_id AS ord, trim(text, ws) AS question,
+  SELECT doc_id * {len(t.BAD_LINES) + 1} AS ord, trim(text, ws) AS question,
          trim(CASE WHEN doc_id % 5 = 0 THEN ' ' || n_chars
                    ELSE 'so #### 1 #### ' || n_chars || chr(10) END, ws) AS raw_answer,
          CAST(n_chars AS VARCHAR) AS answer
-  FROM documents, (SELECT {_SPACE} AS ws) WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0),
+  FROM documents, (SELECT {_SPACE} AS ws)),
 extracted AS (
   SELECT ord, question, answer, raw_answer,
          CASE WHEN contains(question, '"') OR contains(question, '\\')
@@ -191,8 +191,11 @@ QUERIES = {
     "extract_qa": Query(extract_qa, f"""WITH {_QA_SQL}
 SELECT ord, question, answer, prompt FROM extracted"""),
     "head_lines": Query(head_lines, f"""WITH {_QA_SQL}
-SELECT ord, answer FROM extracted
-WHERE ord IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1500)"""),
+SELECT ord, answer FROM extracted WHERE ord IN (
+  SELECT ord FROM (SELECT ord FROM lines UNION ALL SELECT ord + i FROM lines,
+    (SELECT unnest(range(1, {len(t.BAD_LINES) + 1})) AS i)
+    WHERE (ord // {len(t.BAD_LINES) + 1}) % 11 = 0)
+  ORDER BY ord LIMIT 150)"""),
     "parse_benchmark": Query(parse_benchmark, f"""WITH {_QA_SQL}
 SELECT ord, question, raw_answer AS answer FROM extracted"""),
     "prompt_file_lines": Query(prompt_file_lines, f"""WITH {_QA_SQL}

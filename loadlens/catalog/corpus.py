@@ -18,7 +18,7 @@ def _conversations(spark, sf):
 
 def collect_conversations(spark, sf):
     return _conversations(spark, sf).select(
-        "conv_id", "segment", F.to_json("conversations").alias("conversations"))
+        "conv_id", F.to_json("conversations").alias("conversations"))
 
 
 def _messages(spark, sf):
@@ -100,8 +100,7 @@ _POSITIONS = f"range({_LENGTH})"
 
 QUERIES = {
     "collect_conversations": Query(collect_conversations, f"""WITH {_CHAT_SQL}
-SELECT conv_id, CAST(0 AS BIGINT) AS segment, CAST(to_json(conversations) AS VARCHAR)
-       AS conversations FROM chats"""),
+SELECT conv_id, CAST(to_json(conversations) AS VARCHAR) AS conversations FROM chats"""),
     "to_chat_messages": Query(to_chat_messages, f"""WITH {_CHAT_SQL}
 SELECT CAST(to_json(messages) AS VARCHAR) AS messages FROM chats"""),
     "render_chat": Query(render_chat, f"WITH {_CHAT_SQL} SELECT conv_id, prompt FROM chats"),

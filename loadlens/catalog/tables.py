@@ -189,7 +189,11 @@ emis AS (
 
 
 def spans(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    """Trace spans from orders: the customer is the question, so questions repeat."""
+    """Trace spans from orders: the customer is the question, so questions repeat.
+
+    Every seventh order asks what no customer does; every fifth row comes twice.  Seconds are
+    not rounded.
+    """
     key, number = F.col("o_orderkey"), F.floor(F.col("o_totalprice")).cast("long") % 5
     price = F.floor(F.col("o_totalprice")).cast("long").cast("string")
     answer = (
@@ -210,9 +214,12 @@ def spans(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
         F.col("o_orderstatus").alias("status_code"),
         key.cast("string").alias("context.span_id"),
         answer.alias(schemas.SPAN_OUTPUT),
-        ((key % 977 + 1) / 1000).alias(schemas.SPAN_SECONDS),
-        F.concat(F.lit(" q"), F.col("o_custkey")).alias(schemas.SPAN_INPUT),
-    )
+        ((key % 977 + 1) / 1000 + (key % 89) / 1e7).alias(schemas.SPAN_SECONDS),
+        F.concat(F.when(key % 7 == 3, F.lit(" x")).otherwise(F.lit(" q")), F.col("o_custkey"))
+        .alias(schemas.SPAN_INPUT),
+        F.explode(F.when(key % 5 == 2, F.array(F.lit(0), F.lit(1))).otherwise(
+            F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
     return keep_answered(raw)
 
 
@@ -220,8 +227,9 @@ SPANS_SQL = """
 spans AS (
   SELECT o_orderkey AS ord, o_orderpriority AS span_kind, o_orderdate AS start_time,
          o_orderdate + to_milliseconds(o_orderkey % 977 + 1) AS end_time,
-         o_orderstatus AS status_code, (o_orderkey % 977 + 1) / 1000.0::DOUBLE AS seconds,
-         'q' || o_custkey AS question,
+         o_orderstatus AS status_code,
+         (o_orderkey % 977 + 1) / 1000.0::DOUBLE AS seconds,
+         CASE WHEN o_orderkey % 7 = 3 THEN 'x' ELSE 'q' END || o_custkey AS question,
          trim(CASE o_orderkey % 6
            WHEN 0 THEN 'Step 1 gives 7.' || chr(10) || 'The answer is ' || n || chr(10)
            WHEN 1 THEN 'It costs $' || price || ',000 or ~' || n
@@ -230,13 +238,15 @@ spans AS (
            WHEN 4 THEN '00' || n || ' '
            ELSE 'between 1 and ' || n END, ' ' || chr(10)) AS generated_answer
   FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS price,
-               CAST(floor(o_totalprice) AS BIGINT) % 5 AS n FROM orders))"""
+               CAST(floor(o_totalprice) AS BIGINT) % 5 AS n,
+               unnest(CASE WHEN o_orderkey % 5 = 2 THEN [0, 1] ELSE [0] END) AS copy
+        FROM orders))"""
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth pairs from customers: every seventh is missing, every third comes twice."""
+    """Truth pairs from customers: every third comes twice."""
     key = F.col("c_custkey")
-    pairs = table(spark, sf_dir, "customer").filter(key % 7 != 0).select(
+    pairs = table(spark, sf_dir, "customer").select(
         (key * 2).alias("ord"), F.concat(F.lit("q"), key).alias("question"),
         F.when(key % 10 == 9, F.lit("NONE"))
         .otherwise((key % 5).cast("string")).alias("answer"))
@@ -251,7 +261,7 @@ pairs AS (
   SELECT c_custkey * 2 AS ord, 'q' || c_custkey AS question,
          CASE WHEN c_custkey % 10 = 9 THEN 'NONE'
               ELSE CAST(c_custkey % 5 AS VARCHAR) END AS answer, c_custkey
-  FROM customer WHERE c_custkey % 7 <> 0),
+  FROM customer),
 qa AS (
   SELECT ord, question, answer FROM pairs
   UNION ALL
@@ -275,13 +285,26 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines from documents: the text is the question, its length the truth.
 
-    Every 11th line is blank and every 13th is cut short.
+    Bad lines are added behind every 11th.
     """
     doc = F.col("doc_id")
     answer = F.when(doc % 5 == 0, F.concat(F.lit(" "), F.col("n_chars"))).otherwise(
         F.concat(F.lit("so #### 1 #### "), F.col("n_chars"), F.lit("\n")))
     line = F.to_json(F.struct(F.col("text").alias("question"), answer.alias("answer")))
-    return table(spark, sf_dir, "documents").select(
-        doc.alias("ord"),
-        F.when(doc % 11 == 0, F.lit("  ")).when(doc % 13 == 0, F.expr("left(text, 20)"))
-        .otherwise(line).alias("value"))
+    lines = table(spark, sf_dir, "documents").select(
+        (doc * (len(BAD_LINES) + 1)).alias("ord"), line.alias("value"))
+    places = F.posexplode(F.array(*map(F.lit, BAD_LINES))).alias("at", "value")
+    bad = lines.filter(F.col("ord") / (len(BAD_LINES) + 1) % 11 == 0).select("ord", places)
+    return lines.unionByName(bad.select((F.col("ord") + F.col("at") + 1).alias("ord"), "value"))
+
+
+# Lines that are no JSON object, or more than one.
+BAD_LINES = [
+    "  ", "cut sho", '{"question":"a","answer":"b"', '{"question":"a","answer":"b"} {"x":1}',
+    '{"question":"a","answer":"b"}}', '{"question":"a","answer":"b"} more}',
+    "{'question':'a','answer':'b'}", '{"question":"a\tb","answer":"c"}',
+    '{"question":"a","answer":"b"},{"question":"c","answer":"d"}',
+    '{"question":"a","answer":"b"}],[{"x":1}', '[{"question":"a","answer":"b"}]',
+    '{question:"a","answer":"b"}', '{"question":"a","answer":"b",}',
+    '{"question":"","answer":"b"}', '{"question":"a"}', "null",
+]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _OTHER_DIGITS = "".join(
-    chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd"
+    chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"
 )
 _THEIR_VALUES = "".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS)
 
@@ -22,9 +23,6 @@ NO_ANSWER = "NO_ANSWER_FOUND"
 # Fixed value: a whole or decimal number standing alone.
 REPLY_NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"
 
-# An integer of more digits than this is compared as text.
-_MAX_DIGITS = 4300
-
 
 def strip(col: Column) -> Column:
     """Trim every Unicode whitespace character (``trim`` removes spaces only)."""
@@ -96,7 +94,7 @@ def answer_key(col: Column) -> Column:
     )
     is_word = (col == "") | col.isin(FAILED, NO_NUMBER)
     is_float = digits.rlike(r"^(?:[0-9]+\.[0-9]*|\.[0-9]+)$")
-    is_int = digits.rlike(r"^[0-9]+$") & (F.length(digits) <= _MAX_DIGITS)
+    is_int = digits.rlike(r"^[0-9]+$")
 
     def key(kind: str, num: Column | None = None, text: Column | None = None) -> Column:
         return F.struct(

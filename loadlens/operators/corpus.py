@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions.hashing import seeded_hash, token_id
-from loadlens.functions.numbers import floor_bin
 
 # Role names.
 HUMAN, USER, ASSISTANT = "human", "user", "assistant"
@@ -32,17 +31,15 @@ def to_chat_messages(df: DataFrame) -> DataFrame:
 
 def collect_conversations(
     turns: DataFrame, key: str = "conv_id", turn: str = "turn", speaker: str = "from",
-    text: str = "value", segment_turns: int = 1024,
+    text: str = "value",
 ) -> DataFrame:
     """One-row-per-turn input as ``conversations`` arrays in turn order.
 
-    Turn numbers are unique within a conversation.  A conversation of more than
-    ``segment_turns`` turns continues in further rows (``segment`` 1, 2, ...), so
-    no row or task holds an unbounded conversation.
+    Turn numbers are unique within a conversation.  A conversation is one row, however long: it
+    is rendered and tokenised as one text.
     """
-    segment = (floor_bin(F.col(turn), segment_turns) / segment_turns).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct(turn, speaker, text)))
-    return turns.groupBy(key, segment.alias("segment")).agg(
+    return turns.groupBy(key).agg(
         F.transform(ordered, lambda t: F.struct(
             t[speaker].alias("from"), t[text].alias("value"))).alias("conversations"))
 
@@ -54,32 +51,32 @@ def split_train_test(
 
     The split of a row does not depend on partitioning.  By default the test share
     is approximate and needs no shuffle.  ``exact`` takes the ceil(rows * ratio)
-    rows smallest by hash: rows are counted per hash prefix, and only the one
-    prefix the boundary falls into is ranked.
+    rows smallest by hash, ties by key: rows are counted per hash prefix, the hash at the
+    boundary is looked up in the one prefix it falls into, and all rows are compared with it.
     """
     hashed = df.withColumn("_hash", seeded_hash(F.col(key), seed))
     if not exact:
-        limit = f"{min(int(ratio * 16**8), 16**8 - 1):08x}"
+        # Above every prefix for a ratio of 1, as g sorts behind the hexadecimal digits.
+        limit = f"{int(ratio * 16**8):08x}" if ratio < 1 else "g"
         in_test = F.substring("_hash", 1, 8) < limit
         return hashed.withColumn(
             "split", F.when(in_test, "test").otherwise("train")).drop("_hash")
-    hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, _HEX_DIGITS))
-    everything = Window.partitionBy()
-    running = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefixes = (
-        hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_need", F.ceil(F.lit(float(ratio)) * F.sum("_rows").over(everything))
-                    - F.sum("_rows").over(running) + F.col("_rows"))
-    )
+    prefix = F.substring("_hash", 1, _HEX_DIGITS)
     # At most 16 ** _HEX_DIGITS rows, whatever the input.
-    placed = hashed.join(F.broadcast(prefixes), "_prefix")
-    cut = (F.col("_need") > 0) & (F.col("_need") < F.col("_rows"))
-    clear = placed.filter(~cut).withColumn(
-        "split", F.when(F.col("_need") > 0, "test").otherwise("train"))
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash", key))
-    edge = placed.filter(cut).withColumn(
-        "split", F.when(rank <= F.col("_need"), "test").otherwise("train"))
-    return clear.unionByName(edge).drop("_hash", "_prefix", "_rows", "_need")
+    counts = hashed.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
+    running = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy()
+    need = (F.ceil(F.lit(float(ratio)) * F.sum("_rows").over(everything))
+            - F.sum("_rows").over(running) + F.col("_rows"))
+    edge = counts.withColumn("_need", need).filter(
+        (F.col("_need") > 0) & (F.col("_need") <= F.col("_rows"))).select("_prefix", "_need").head()
+    if edge is None:
+        return hashed.withColumn("split", F.lit("train")).drop("_hash")
+    last = hashed.filter(prefix == edge["_prefix"]).select("_hash", key).orderBy(
+        "_hash", key).offset(edge["_need"] - 1).head()
+    in_test = (F.col("_hash") < last["_hash"]) | (
+        (F.col("_hash") == last["_hash"]) & (F.col(key) <= F.lit(last[key])))
+    return hashed.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("_hash")
 
 
 def role_tags(message: Column) -> Column:

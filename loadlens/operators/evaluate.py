@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadlens import schemas
 from loadlens.functions.numbers import micros
@@ -19,9 +20,24 @@ from loadlens.sources.store import stored
 Extractor = Callable[[Column], Column]
 
 
+# Minima of these are kept in place by a hash aggregate.
+_FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def ground_truth(qa: DataFrame, order_by: str = "ord") -> DataFrame:
-    """One truth per question; the last one wins."""
-    return qa.groupBy("question").agg(F.max_by("answer", order_by).alias("ground_truth"))
+    """One truth per question; the last one wins.
+
+    Order values should be unique.  Of rows that share the last one, the greatest answer counts.
+    """
+    kind = qa.schema[order_by].dataType
+    if not isinstance(kind, _FIXED_WIDTH):
+        return qa.groupBy("question").agg(
+            F.max(F.struct(order_by, "answer"))["answer"].alias("ground_truth"))
+    last = qa.groupBy(F.col("question").alias("_q")).agg(F.max(order_by).alias("_last"))
+    # One row a question is left, so sorting them by answer is no burden.
+    return qa.join(last, (F.col("question") == F.col("_q")) & F.col(order_by).eqNullSafe(
+        F.col("_last"))).groupBy("question").agg(F.max("answer").alias("ground_truth"))
 
 
 def _with_order(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -29,48 +45,68 @@ def _with_order(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, list
     return df.withColumns({k: F.col(schemas.quoted(c)) for k, c in zip(keys, order_by)}), keys
 
 
-def _attach(rows: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on the row identity, which no hot question can skew.
+def first_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first order keys of each question and the number of rows ``_n`` that have them.
 
-    Marks, one row per question, are stored first: their true size decides whether
-    they are broadcast, and whatever made them runs once however often the result
-    is used.
+    A missing key comes last.  The minimum of the first key combines map-side, so a question
+    with many rows costs one row per task; only rows that share it are looked at for the other
+    keys.
     """
-    right = stored(marks.withColumnsRenamed({k: f"{k}_r" for k in keys}))
-    on = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]
-    return rows.join(right, on, "left").drop(*keys, *[f"{k}_r" for k in keys])
-
-
-def first_rows(spans: DataFrame, keys: Sequence[str], *carry: str) -> DataFrame:
-    """The first row of each question, as its key columns and ``carry``.
-
-    A minimum combines map-side, so a question with many rows costs one row per task.
+    asked = rows.filter("question is not null").select("question", *keys)
+    first, *rest = keys
+    if isinstance(rows.schema[first].dataType, _FIXED_WIDTH):
+        low = asked.groupBy(F.col("question").alias("_q")).agg(F.min(first).alias("_low"))
+        asked = asked.join(low, (F.col("question") == F.col("_q")) & F.col(first).eqNullSafe(
+            F.col("_low"))).drop("_q", "_low")
+    else:
+        rest = keys
+    places = asked.groupBy("question", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not rest:
+        return places
+    order = Window.partitionBy("question").orderBy(*[F.asc_nulls_last(k) for k in rest])
+    return places.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop(
+        "_place")
+
+
+def _firsts(
+    spans: DataFrame, order_by: Sequence[str], truth: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The first row of each question, with ``_truth`` if given, and all other rows.
+
+    Rows meet their question's first keys, one row per question, which are stored: their true
+    size decides whether they are broadcast.  Both results share that join's shuffle.  Of rows
+    with equal keys one is taken, by the hash of its columns; equal rows are interchangeable.
     """
-    first = F.min(F.struct(*keys, *carry)).alias("_first")
-    return spans.groupBy("question").agg(first).select("question", "_first.*")
+    rows, keys = _with_order(spans, order_by)
+    firsts = first_rows(rows, keys)
+    if truth is not None:
+        answers = truth.select(F.col("question").alias("_t"), F.col("ground_truth").alias("_truth"))
+        firsts = firsts.join(answers, F.col("question") == F.col("_t"), "left").drop("_t")
+    firsts = stored(firsts.withColumnsRenamed({k: f"{k}_r" for k in ("question", *keys)}))
+    on = [F.col("question") == F.col("question_r")] + [
+        F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]
+    met = rows.join(firsts, on, "left").drop(
+        *keys, "question_r", *[f"{k}_r" for k in keys])
+    hits, others = met.filter("_n is not null"), met.filter("_n is null")
+    if firsts.filter("_n > 1").limit(1).count():
+        order = Window.partitionBy("question").orderBy(F.xxhash64(
+            *[schemas.quoted(c) for c in spans.columns]))
+        placed = hits.withColumn("_place", F.row_number().over(order))
+        others = others.unionByName(placed.filter("_place > 1").drop("_place"))
+        hits = placed.filter("_place = 1").drop("_place")
+    return hits.drop("_n"), others.drop("_n")
 
 
 def mark_duplicates(spans: DataFrame, order_by: Sequence[str] = ("ord",)) -> DataFrame:
     """All rows, with ``is_duplicate`` true for all but the first of each question."""
-    rows, keys = _with_order(spans, order_by)
-    firsts = first_rows(rows, keys).drop("question").withColumn("_mark", F.lit(True))
-    return _attach(rows, firsts, keys).withColumn(
-        "is_duplicate", F.col("_mark").isNull()).drop("_mark")
+    hits, others = _firsts(spans, order_by)
+    return hits.withColumn("is_duplicate", F.lit(False)).unionByName(
+        others.withColumn("is_duplicate", F.lit(True)))
 
 
-def attach_truth(spans: DataFrame, truth: DataFrame, truncate: int | None = None) -> DataFrame:
-    """Add ``ground_truth`` by question, missing where there is none.
-
-    ``truncate`` cuts the key to that many characters on both sides, as a tracer
-    that stores only the head of a prompt does; of several questions with one
-    head the greatest in text order is used.
-    """
-    if truncate is None:
-        return spans.join(truth, "question", "left")
-    heads = truth.groupBy(F.substring("question", 1, truncate).alias("_head")).agg(
-        F.max_by("ground_truth", "question").alias("ground_truth"))
-    return spans.withColumn("_head", F.substring("question", 1, truncate)).join(
-        heads, "_head", "left").drop("_head")
+def attach_truth(spans: DataFrame, truth: DataFrame) -> DataFrame:
+    """Add ``ground_truth`` by question, missing where there is none."""
+    return spans.join(truth, "question", "left")
 
 
 def shape_spans(df: DataFrame, length: int = 1000) -> DataFrame:
@@ -106,17 +142,15 @@ def evaluate(
 
     The extractor sees one row per question with a truth and nothing else, once.
     """
-    rows, keys = _with_order(spans, order_by)
-    # The condition both branches below share, so that they share one shuffle.
-    asked = rows.filter("question is not null")
-    known = first_rows(asked, keys, "generated_answer").join(truth, "question", "left")
-    verdict = same_answer(F.col("extracted_answer"), F.col("ground_truth"))
-    scored = extract_answer(known.filter("ground_truth is not null"), extractor).select(
-        *keys, F.when(verdict, schemas.CORRECT).otherwise(schemas.WRONG).alias("correctness"))
-    unknown = known.filter("ground_truth is null").select(
-        *keys, F.lit(schemas.NO_TRUTH).alias("correctness"))
-    return _attach(rows, scored.unionByName(unknown), keys).withColumn(
-        "correctness", F.coalesce("correctness", F.lit(schemas.DUPLICATE)))
+    hits, others = _firsts(spans, order_by, truth)
+    verdict = same_answer(F.col("extracted_answer"), F.col("_truth"))
+    labels = {
+        "correctness": F.when(verdict, schemas.CORRECT).otherwise(schemas.WRONG)}
+    scored = extract_answer(hits.filter("_truth is not null"), extractor).withColumns(
+        labels).drop("extracted_answer")
+    unknown = hits.filter("_truth is null").withColumn("correctness", F.lit(schemas.NO_TRUTH))
+    again = others.withColumn("correctness", F.lit(schemas.DUPLICATE))
+    return scored.unionByName(unknown).unionByName(again).drop("_truth")
 
 
 def _tally() -> dict[str, Column]:
@@ -165,9 +199,10 @@ def evaluation_report(results: DataFrame) -> DataFrame:
 def span_latency(df: DataFrame, by: Sequence[str] = ("name", "status_code")) -> DataFrame:
     """Generation seconds and span duration per span kind, with exact percentiles.
 
-    Seconds are counted per value first, so a large group arrives as a histogram.
+    Seconds are taken to the 3 decimals their producer writes and counted per value first, so a
+    large group arrives as a histogram of milliseconds.
     """
-    seconds = F.col(schemas.quoted(schemas.SPAN_SECONDS)).cast("double")
+    seconds = F.round(F.col(schemas.quoted(schemas.SPAN_SECONDS)).cast("double"), 3)
     duration = micros("end_time") - micros("start_time")
     counted = df.groupBy(*by, seconds.alias("seconds")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(duration).alias("duration_us"),

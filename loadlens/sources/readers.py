@@ -113,6 +113,9 @@ def read_user_bins(spark: SparkSession, paths: Sequence[str], strict: bool = Fal
     return bins
 
 
+_QA_LAYOUT = "array<struct<question: string, answer: string, _end: int, _bad: string>>"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Physical lines as ``value`` with their file order."""
     return with_file_order(spark.read.text(path))
@@ -121,12 +124,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def _question_and_answer(lines: DataFrame) -> DataFrame:
     """``question`` and ``answer`` of JSON lines in place of ``value``.
 
-    Parsing stops at the end of the object; a line that goes on after it is bad.
+    A line is one JSON object and nothing else.  The parser stops at the end of a value, so
+    each line is parsed as the first element of an array whose second one marks the end: what
+    goes on after the object breaks the array, closes it early or adds an element.
     """
     others = [c for c in lines.columns if c != "value"]
-    whole = F.rtrim("value", F.lit(" \t\r\n")).endswith("}")
-    fields = F.json_tuple("value", "question", "answer").alias("question", "answer")
-    return lines.filter(whole).select(*others, fields)
+    objects = F.from_json(
+        F.concat(F.lit("["), "value", F.lit(',{"_end":1}]')), _QA_LAYOUT, {
+            "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad",
+            "allowSingleQuotes": "false", "allowUnquotedControlChars": "false"})
+    closed = F.rtrim("value", F.lit(" \t\r\n")).endswith("}")
+    row = F.get("_rows", F.lit(0))
+    return lines.filter(closed).withColumn("_rows", objects).filter(
+        (F.size("_rows") == 2) & (F.get("_rows", F.lit(1))["_end"] == 1)
+        & row.isNotNull() & row["_bad"].isNull()).select(
+        *others, row["question"].alias("question"), row["answer"].alias("answer"))
 
 
 def parse_benchmark(lines: DataFrame) -> DataFrame:

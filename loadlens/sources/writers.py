@@ -77,10 +77,11 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
-def export_spans(spans: DataFrame, path: str, limit: int | None = 1_000_000) -> None:
-    """At most ``limit`` spans as CSV, all of them without a limit."""
-    rows = spans.drop("ord")
-    _write_csv(rows if limit is None else rows.limit(limit), path)
+def export_spans(spans: DataFrame, path: str, limit: int | None = None,
+                 order_by: str = "ord") -> None:
+    """All spans as CSV, or with ``limit`` the first of them in ``order_by`` order."""
+    rows = spans if limit is None else spans.orderBy(order_by).limit(limit)
+    _write_csv(rows.drop("ord"), path)
 
 
 def write_traces(traces: DataFrame, path: str) -> None:

@@ -69,7 +69,7 @@ def test_written_files(spark, lines, tmp_path):
     ("-5", ("i", None, "5")), ("5.", ("f", 5.0, None)), (".5", ("f", 0.5, None)),
     ("1.2.3", ("s", None, "1.2.3")), (".", ("s", None, ".")), ("abc ", ("s", None, "abc")),
     ("NONE", ("s", None, "NONE")), ("ERROR", ("s", None, "ERROR")), ("", ("s", None, "")),
-    ("٣", ("i", None, "3")), ("9" * 30, ("i", None, "9" * 30)), ("9" * 4301, ("s", None, "9" * 4301)),
+    ("٣", ("i", None, "3")), ("9" * 30, ("i", None, "9" * 30)), ("9" * 4301, ("i", None, "9" * 4301)),
 ])
 def test_answer_key(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "a string")
@@ -153,8 +153,10 @@ def test_results_file(spark, results, tmp_path):
     assert frame["extra"].iloc[0] == 'line one\nrow 0, "quoted"'
     writers.write_summary(evaluate.evaluation_summary(results), str(tmp_path / "summary"))
     assert spark.read.json(str(tmp_path / "summary")).head().accuracy_percentage == 60.0
-    writers.export_spans(results, str(tmp_path / "export"), 3)
-    assert spark.read.csv(str(tmp_path / "export"), header=True, multiLine=True, escape='"').count() == 3
+    for limit, kept in ((3, ["0", "1", "2"]), (None, [str(i) for i in LABELS])):
+        writers.export_spans(results, str(tmp_path / "export"), limit)
+        back = spark.read.csv(str(tmp_path / "export"), header=True, multiLine=True, escape='"')
+        assert sorted(r["context.span_id"] for r in back.collect()) == sorted(kept)
 
 
 def test_one_first_row_per_question(results):
@@ -187,11 +189,28 @@ def test_extractor_sees_only_needed_rows(spark):
     assert seen.value == 2
 
 
-def test_truncated_truth(spark):
-    spans = spark.createDataFrame([("abc",)], "question string")
-    truth = spark.createDataFrame([("abcdef", "1")], "question string, ground_truth string")
-    assert evaluate.attach_truth(spans, truth).head().ground_truth is None
-    assert evaluate.attach_truth(spans, truth, truncate=3).head().ground_truth == "1"
+def test_repeated_ids_and_equal_rows(spark):
+    """As many rows out as in, one of them first for each question."""
+    rows = [(1, 7, "a", "1"), (1, 7, "a", "1"), (1, 7, "a", "2"), (1, 7, "b", "1"),
+            (2, 7, "b", "1"), (None, 1, "c", "1"), (3, 9, "c", "1"), (3, 8, "c", "1"),
+            (None, None, "d", "1")]
+    spans = spark.createDataFrame(
+        rows, "start int, id int, question string, generated_answer string").repartition(4)
+    marked = evaluate.mark_duplicates(spans, ["start", "id"]).collect()
+    assert sorted(str(tuple(r)[:4]) for r in marked) == sorted(map(str, rows))
+    firsts = [r for r in marked if not r.is_duplicate]
+    assert sorted((r.question, r.start, r.id) for r in firsts) == [
+        ("a", 1, 7), ("b", 1, 7), ("c", 3, 8), ("d", None, None)]
+    truth = spark.createDataFrame([("b", "1"), ("c", "5")], "question string, ground_truth string")
+    got = evaluate.evaluate(spans, truth, order_by=["start", "id"])
+    assert {r.correctness: r["count"] for r in got.groupBy("correctness").count().collect()} == {
+        "true": 1, "false": 1, "NO_GROUND_TRUTH": 2, "DUPLICATE": 5}
+
+
+def test_first_rows_use_hash_aggregates(spark):
+    spans = spark.range(100).selectExpr("id % 9 AS question", "id AS ord")
+    plan = evaluate.first_rows(*evaluate._with_order(spans, ["ord"]))._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
 def test_failed_extractor(spark):

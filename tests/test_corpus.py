@@ -24,12 +24,11 @@ def test_roles_and_reader(spark, tmp_path):
 
 
 def test_long_conversation_is_whole(spark):
-    turns = spark.range(10).select(
+    turns = spark.range(2500).select(
         F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("human").alias("from"),
         F.col("id").cast("string").alias("value"))
-    got = corpus.collect_conversations(turns.repartition(5), segment_turns=4).orderBy("segment")
-    assert [[m.value for m in r.conversations] for r in got.collect()] == [
-        ["0", "1", "2", "3"], ["4", "5", "6", "7"], ["8", "9"]]
+    [row] = corpus.collect_conversations(turns.repartition(5)).collect()
+    assert [m.value for m in row.conversations] == [str(i) for i in range(2500)]
 
 
 @pytest.mark.parametrize("side, ids, want, mask", [
@@ -57,6 +56,15 @@ def test_exact_split(spark, rows, ratio):
     assert got.set_index("id")["split"].to_dict() == again.set_index("id")["split"].to_dict()
 
 
+def test_hash_split_takes_all(spark):
+    got = corpus.split_train_test(spark.range(2000), "id", 1.0)
+    assert {r.split for r in got.collect()} == {"test"}
+    none = corpus.split_train_test(spark.range(20), "id", 0.0, exact=True)
+    assert {r.split for r in none.collect()} == {"train"}
+    empty = corpus.split_train_test(spark.range(0), "id", exact=True)
+    assert empty.columns == ["id", "split"] and empty.count() == 0
+
+
 def test_hash_split_is_stable_partition(spark):
     df = spark.range(5000)
     one = corpus.split_train_test(df.repartition(7), "id").toPandas().set_index("id")["split"]

@@ -1,4 +1,4 @@
-"""Text expressions against plain Python on many random texts, one job each."""
+"""Text expressions: worked cases, and what holds for many random texts."""
 
 import random
 import re
@@ -34,9 +34,14 @@ def test_strip(frame, texts):
     assert column(frame, text.strip(F.col("t"))) == [t.strip() for t in texts]
 
 
-def test_final_answer(frame, texts):
-    assert column(frame, text.final_answer(F.col("t"))) == [
-        re.split("####", t)[-1].strip() for t in texts]
+def test_final_answer(frame, texts, spark):
+    """Text put before a marker never shows, and text without one is only trimmed."""
+    got = column(frame, text.final_answer(F.col("t")))
+    assert all(g == t.strip() for t, g in zip(texts, got) if "####" not in t)
+    df = spark.createDataFrame(
+        [(i, f"x #### y\n####{t}") for i, t in enumerate(texts) if t[:1] != "#"], "i int, t string")
+    assert column(df, text.final_answer(F.col("t"))) == [
+        g for t, g in zip(texts, got) if t[:1] != "#"]
 
 
 def test_escaped_prompt_reads_back(frame, texts):
@@ -58,34 +63,59 @@ def test_pipe_escape_reads_back(frame, texts):
     assert not any(re.search(r'(?<!\\)(?:\\\\)*[|"]', g) for g in got)
 
 
-def value(answer):
-    """What an answer amounts to, as a tagged Python value."""
-    if answer in ("", "ERROR", "NONE"):
-        return answer
-    kept = "".join(c for c in answer if c == "." or c.isdecimal())
-    number = float if "." in kept else int
-    try:
-        return number.__name__, number(kept)
-    except ValueError:
-        return answer.strip()
-
-
-def test_answers_are_equal_when_their_values_are(frame, texts):
-    keys = [tuple(k) for k in column(frame, text.answer_key(F.col("t")))]
-    by_key, by_value = {}, {}
-    for t, k in zip(texts, keys):
-        by_key.setdefault(k, set()).add(value(t))
-        by_value.setdefault(value(t), set()).add(k)
-    assert all(len(v) == 1 for v in by_key.values())
-    assert all(len(k) == 1 for k in by_value.values())
-
-
-def test_parse_reply(frame, texts):
-    def expected(t):
-        bare = t.strip()
-        if bare.upper() == "NONE":
-            return "NONE"
-        numbers = [m[0] for m in re.finditer(r"\b\d+(?:\.\d+)?\b", bare)]
-        return numbers[0] if numbers else bare
-
-    assert column(frame, text.parse_reply(F.col("t"))) == [expected(t) for t in texts]
+def keys(spark, answers):
+    df = spark.createDataFrame(list(enumerate(answers)), "i int, t string")
+    return [tuple(k) for k in column(df, text.answer_key(F.col("t")))]
+
+
+@pytest.mark.parametrize("answer, key", [
+    ("18", ("i", None, "18")), ("18.0", ("f", 18.0, None)), ("18.50", ("f", 18.5, None)),
+    ("007", ("i", None, "7")), ("$1,234", ("i", None, "1234")), ("-5", ("i", None, "5")),
+    ("5.", ("f", 5.0, None)), (".5", ("f", 0.5, None)), ("1.2.3", ("s", None, "1.2.3")),
+    (".", ("s", None, ".")), ("abc ", ("s", None, "abc")), ("NONE", ("s", None, "NONE")),
+    ("ERROR", ("s", None, "ERROR")), ("", ("s", None, "")), ("٣", ("i", None, "3")),
+    ("\U0001d7d7\U0001e951", ("i", None, "91")), ("000", ("i", None, "0")),
+])
+def test_answer_key(spark, answer, key):
+    assert keys(spark, [answer]) == [key]
+
+
+def test_integers_of_any_length(spark):
+    """Zeros in front, separators and signs never change an integer's key."""
+    rng = random.Random(3)
+    numbers = ["9" * 5000, *(str(rng.randrange(1, 10 ** rng.randint(1, 30))) for _ in range(300))]
+    plain = keys(spark, numbers)
+    assert {k[0] for k in plain} == {"i"} and len(set(plain)) == len(set(numbers))
+    for change in (lambda n: f"000{n}", lambda n: f"-{n}", lambda n: f"${n[:1]},{n[1:]}",
+                   lambda n: f"  {n} kg"):
+        assert keys(spark, map(change, numbers)) == plain
+
+
+def test_a_decimal_point_changes_the_kind(spark):
+    numbers = [str(n) for n in range(0, 3000, 7)]
+    decimals = keys(spark, [f"{n}.0" for n in numbers])
+    assert {k[0] for k in decimals} == {"f"}
+    assert [k[1] for k in decimals] == [float(n) for n in numbers]
+
+
+def test_trimming_never_changes_the_key(frame, texts, spark):
+    same = [t for t in texts if t.strip() == t and t]
+    assert keys(spark, [f"\t {t}\n" for t in same if t not in ("NONE", "ERROR")]) == keys(
+        spark, [t for t in same if t not in ("NONE", "ERROR")])
+
+
+@pytest.mark.parametrize("reply, parsed", [
+    ("18", "18"), (" 18.50 kg", "18.50"), ("none ", "NONE"), ("None", "NONE"),
+    ("none of 3", "3"), ("-5", "5"), ("1,234", "1"), ("x1 2", "2"), ("it is 7.", "7"),
+    ("1.2.3", "1.2"), (" no number ", "no number"), ("", ""), ("\x1cERROR", "ERROR"),
+])
+def test_parse_reply(spark, reply, parsed):
+    df = spark.createDataFrame([(reply,)], "t string")
+    assert df.select(text.parse_reply(F.col("t"))).first()[0] == parsed
+
+
+def test_parsed_replies_stay(frame, texts, spark):
+    """A parsed reply parses to itself."""
+    once = column(frame, text.parse_reply(F.col("t")))
+    df = spark.createDataFrame(list(enumerate(once)), "i int, t string")
+    assert column(df, text.parse_reply(F.col("t"))) == once
