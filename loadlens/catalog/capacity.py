@@ -189,7 +189,8 @@ def run_summary(spark, sf):
 
 
 def run_file_summary(spark, sf):
-    return report.run_file_summary(t.table(spark, sf, "events"))
+    files = report.run_file_summary(t.table(spark, sf, "events"))
+    return files.select(F.element_at(F.split("file", "/"), -1).alias("file"), "lines")
 
 
 QUERIES = {
@@ -260,5 +261,6 @@ SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_start, responsecode,
 FROM clean GROUP BY ALL"""),
     "run_summary": Query(run_summary, f"""WITH {t.SAMPLES_SQL}
 SELECT run_id, count(*) AS lines FROM raw GROUP BY run_id"""),
-    "run_file_summary": Query(run_file_summary),
+    "run_file_summary": Query(run_file_summary, """
+SELECT 'events.parquet' AS file, count(*) AS lines FROM events"""),
 }

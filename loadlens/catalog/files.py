@@ -8,7 +8,7 @@ from loadlens import schemas
 from loadlens.catalog import Query, answers, correlation, corpus
 from loadlens.catalog import tables as t
 from loadlens.catalog.capacity import QUERIES as CAPACITY
-from loadlens.operators import capacity, evaluate, qa, telemetry
+from loadlens.operators import capacity, correlate, evaluate, qa, telemetry
 from loadlens.operators import corpus as corpus_ops
 from loadlens.sources import readers, writers
 from loadlens.sources.store import new_folder
@@ -21,10 +21,29 @@ def _rounded(df):
 
 
 def load_samples_file(spark, sf):
-    path = new_folder(spark)
-    t.load_samples(spark, sf).drop("ord", "run_id").write.csv(path, header=True, escape='"')
-    samples = capacity.prepare_samples(readers.read_load_samples(spark, path))
-    return _rounded(capacity.user_bins(samples))
+    """Files of two layouts, one with another order of columns, with ragged rows in both."""
+    folder = new_folder(spark)
+    samples = t.load_samples(spark, sf).drop("ord")
+    for run, names in ((0, samples.columns), (1, samples.columns[::-1] + ["host"]),
+                       (2, samples.columns)):
+        names = [n for n in names if n != "run_id"]
+        cells = [F.coalesce(F.col(n).cast("string") if n != "host" else F.lit("h, 1"), F.lit(""))
+                 for n in names]
+        quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+                  for c in cells]
+        lines = samples.filter(F.col("run_id") == run).select(
+            F.concat_ws(",", *quoted).alias("value"))
+        # A row too long is dropped; one too short has no number to count.
+        ragged = lines.limit(5).select(F.explode(F.array(
+            F.concat("value", F.lit(",surplus")), F.lit("1,2"))).alias("value"))
+        part = f"{folder}/run{run}"
+        rows = lines.unionByName(ragged).select(F.lit(1).alias("after"), "value")
+        head = spark.range(1).select(F.lit(0).alias("after"), F.lit(",".join(names)).alias("value"))
+        head.unionByName(rows).coalesce(1).sortWithinPartitions("after").select(
+            "value").write.text(part)
+    paths = [f"{folder}/run{run}" for run in range(3)]
+    return _rounded(capacity.user_bins(capacity.prepare_samples(
+        readers.read_load_samples(spark, paths))))
 
 
 def user_bins_files(spark, sf):
@@ -36,10 +55,30 @@ def user_bins_files(spark, sf):
     return _rounded(back).withColumn("run_id", F.col("run_id").cast("long"))
 
 
+def run_windows_files(spark, sf):
+    """Periods of runs whose files stand in falling order of users, beside files of no use."""
+    bins, folder = t.saved_run_bins(spark, sf), new_folder(spark)
+    for i in range(3):
+        bins.filter(F.col("run_id") == i).drop("run_id").coalesce(1).sortWithinPartitions(
+            F.desc("user_bin")).write.csv(f"{folder}/run{i}", header=True)
+    spark.range(3).write.csv(f"{folder}/foreign", header=True)
+    spark.range(1).select(F.lit("").alias("value")).write.text(f"{folder}/empty")
+    paths = [f"{folder}/{name}" for name in (
+        "run0", "run1", "run2", "foreign", "empty", "missing")]
+    windows = correlate.run_windows(readers.read_user_bins(spark, paths))
+    return windows.withColumn("run_id", F.col("run_id").cast("long"))
+
+
 def host_metrics_file(spark, sf):
+    """Two hosts: one reports a core less, in another order of columns."""
     path = new_folder(spark)
-    t.host_metrics(spark, sf).drop("ord", "run_id", "datetime", "time_str", "cpu_cores_sum").write.csv(
-        path, header=True)
+    host = t.host_metrics(spark, sf).drop(
+        "ord", "run_id", "datetime", "time_str", "cpu_cores_sum")
+    small = F.col("cpu_1_percent").isNull()
+    host.filter(~small).write.csv(f"{path}/host=a", header=True)
+    host.filter(small).select(*[c for c in host.columns[::-1] if c != "cpu_1_percent"]).write.csv(
+        f"{path}/host=b", header=True)
+    path = [f"{path}/host=a", f"{path}/host=b"]
     host = telemetry.cpu_cores_sum(telemetry.with_time(readers.read_host_metrics(spark, path)))
     return host.select("timestamp", "datetime", "cpu_cores_sum", "memory_percent",
                        "gpu_0_util_percent", "gpu_0_mem_used_mb")
@@ -131,6 +170,11 @@ def _only(sql: str, columns: str) -> str:
 QUERIES = {
     "load_samples_file": Query(load_samples_file, CAPACITY["user_bins"].sql),
     "user_bins_files": Query(user_bins_files, CAPACITY["user_bins_by_run"].sql),
+    "run_windows_files": Query(run_windows_files, f"""WITH {t.RUN_BINS_SQL},
+starts AS (SELECT run_id, arg_max(bin_start_timestamp, user_bin) AS run_start
+           FROM bins GROUP BY run_id)
+SELECT run_id, run_start, lead(run_start) OVER (ORDER BY run_id) - INTERVAL 300 SECOND AS run_end
+FROM starts"""),
     "host_metrics_file": Query(host_metrics_file, f"""WITH {t.HOST_SQL}
 SELECT timestamp, datetime, cpu_cores_sum, memory_percent, gpu_0_util_percent, gpu_0_mem_used_mb
 FROM host"""),

@@ -20,6 +20,14 @@ def cpu_cores_sum(spark, sf):
     return t.host_metrics(spark, sf).select("ord", "cpu_cores_sum")
 
 
+def cores_fallback(spark, sf):
+    """Hosts that report no core: the total stands in, or nothing at all."""
+    bare = t.host_metrics(spark, sf).drop("cpu_cores_sum", "cpu_0_percent", "cpu_1_percent")
+    total = telemetry.cpu_cores_sum(bare).withColumnRenamed("cpu_cores_sum", "from_total")
+    return telemetry.cpu_cores_sum(total.drop("cpu_percent_total")).select(
+        "ord", "from_total", F.col("cpu_cores_sum").alias("from_nothing"))
+
+
 def with_capacity(spark, sf):
     caps = ["cpu_cores_count", "cpu_max_possible", "memory_max_percent", "gpu_max_util_percent"]
     df = telemetry.with_capacity(t.host_metrics(spark, sf))
@@ -92,6 +100,8 @@ QUERIES = {
     "with_time": Query(with_time, f"""WITH {t.HOST_SQL}
 SELECT ord, timestamp, datetime, strftime(datetime, '%H:%M:%S') AS time_str FROM host"""),
     "cpu_cores_sum": Query(cpu_cores_sum, f"WITH {t.HOST_SQL} SELECT ord, cpu_cores_sum FROM host"),
+    "cores_fallback": Query(cores_fallback, f"""WITH {t.HOST_SQL}
+SELECT ord, cpu_percent_total AS from_total, CAST(0 AS DOUBLE) AS from_nothing FROM host"""),
     "with_capacity": Query(with_capacity, f"""WITH {t.HOST_SQL}
 SELECT ord, CAST(2 AS BIGINT) AS cpu_cores_count, CAST(200 AS BIGINT) AS cpu_max_possible,
        CAST(100 AS BIGINT) AS memory_max_percent, CAST(100 AS BIGINT) AS gpu_max_util_percent

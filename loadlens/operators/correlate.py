@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadlens import schemas
 from loadlens.functions.numbers import micros
-from loadlens.operators.telemetry import cores_sum, core_columns, unpivot_metrics
+from loadlens.operators.telemetry import cores_sum, core_columns, file_order, unpivot_metrics
 from loadlens.plans.nearest import nearest_match
 
 TOLERANCE = 30
@@ -21,11 +21,15 @@ def every_n_users(bins: DataFrame, n: int = 100) -> DataFrame:
     return bins.filter(F.col("user_bin") % n == 0)
 
 
-def run_windows(bins: DataFrame, gap_seconds: int = 300, order_by: str = "user_bin") -> DataFrame:
+def run_windows(
+    bins: DataFrame, gap_seconds: int = 300, order_by: str | None = None
+) -> DataFrame:
     """Period of each run: from its first row to ``gap_seconds`` before the next run starts.
 
-    Takes the bins before :func:`every_n_users`.  The last run has no end.
+    Takes the bins before :func:`every_n_users`.  The first row is that of the run file if the
+    bins were read from one, unless ``order_by`` says otherwise.  The last run has no end.
     """
+    order_by = order_by or file_order(bins)
     starts = bins.groupBy("run_id").agg(F.min_by(_BIN_TS, order_by).alias("run_start"))
     following = F.lead("run_start").over(Window.orderBy("run_id"))  # one row per run
     return starts.withColumn(
@@ -91,9 +95,9 @@ def _optional(df: DataFrame, name: str) -> Column:
 
 def correlate_host(
     bins: DataFrame, metrics: DataFrame, order_by: Sequence[str], tolerance: float = TOLERANCE,
-    n: int = 100, gap_seconds: int = 300, ts: str = "datetime",
+    n: int = 100, gap_seconds: int = 300, ts: str = "datetime", bins_order: str | None = None,
 ) -> DataFrame:
-    """Host usage at every ``n`` users of each run."""
+    """Host usage at every ``n`` users of each run; ``bins_order`` as in :func:`run_windows`."""
     payload = [
         cores_sum(metrics, F.lit(None).cast("double")).alias("cpu_usage"),
         _optional(metrics, "memory_percent").alias("memory_percent"),
@@ -101,19 +105,19 @@ def correlate_host(
         _optional(metrics, "gpu_0_mem_used_mb").alias("gpu_mem"),
     ]
     found = nearest_join(every_n_users(bins, n), metrics, payload, ts, order_by, tolerance,
-                         run_windows(bins, gap_seconds))
+                         run_windows(bins, gap_seconds, bins_order))
     return found.select(
         "run_id", "user_bin", "avg_error_rate", "avg_elapsed", "match.payload.*")
 
 
 def correlate_emissions(
     bins: DataFrame, emissions: DataFrame, order_by: Sequence[str], tolerance: float = TOLERANCE,
-    n: int = 100, gap_seconds: int = 300, ts: str = "timestamp",
+    n: int = 100, gap_seconds: int = 300, ts: str = "timestamp", bins_order: str | None = None,
 ) -> DataFrame:
-    """Power and energy at every ``n`` users of each run."""
+    """Power and energy at every ``n`` users of each run; ``bins_order`` as in :func:`run_windows`."""
     payload = [_optional(emissions, m).alias(m) for m, _, _ in schemas.EMISSION_METRICS]
     found = nearest_join(every_n_users(bins, n), emissions, payload, ts, order_by, tolerance,
-                         run_windows(bins, gap_seconds))
+                         run_windows(bins, gap_seconds, bins_order))
     return found.select("run_id", "user_bin", "match.payload.*")
 
 

@@ -98,8 +98,17 @@ def moving_average(
     )
 
 
-def run_starts(bins: DataFrame, order_by: str = "user_bin") -> DataFrame:
-    """Start of each run: its bin 0, else its first row in ``order_by`` order."""
+def file_order(bins: DataFrame) -> str:
+    """Column that tells the order of a run's rows: that of its file, else the user bin."""
+    return "ord" if "ord" in bins.columns else "user_bin"
+
+
+def run_starts(bins: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Start of each run: its bin 0, else its first row in ``order_by`` order.
+
+    The order is that of the run file if the bins were read from one.
+    """
+    order_by = order_by or file_order(bins)
     start = F.min_by("bin_start_timestamp", order_by)
     if "user_bin" in bins.columns:
         zero = F.when(F.col("user_bin") == 0, F.col(order_by))
@@ -163,12 +172,41 @@ def telemetry_summary(df: DataFrame, ts: str = "datetime") -> DataFrame:
 def sample_ticks(df: DataFrame, order_by: Sequence[str], k: int = 8) -> DataFrame:
     """Up to ``k`` evenly spaced rows with their ``position``.
 
-    Takes the positions of :func:`with_position` if ``df`` has them.
+    Rows are counted by value of the first order column and, of these counts, by prefix of a
+    day; the ``k`` values that hold a wanted row are found from the running counts and only
+    their rows are read again and ranked.  A missing value comes first.
     """
-    placed = df if {"position", "total"} <= set(df.columns) else with_position(df, order_by)
-    total = F.col("total")
-    steps = F.least(F.lit(k).cast("long"), total) - 1
-    ticks = F.transform(
-        F.sequence(F.lit(0).cast("long"), steps),
-        lambda i: F.when(steps == 0, 0).otherwise(F.floor(i * (total - 1) / steps)))
-    return placed.filter(F.array_contains(ticks, F.col("position"))).drop("total")
+    first = order_by[0]
+    slice_ = F.col(first)
+    if isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType)):
+        slice_ = F.date_trunc("minute", first)
+    counts = df.groupBy(slice_.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    steps = min(k, total) - 1
+    wanted = sorted({i * (total - 1) // max(steps, 1) for i in range(steps + 1)})
+    kept = None
+    for at, before, places in _holding(counts, wanted):
+        rank = F.row_number().over(Window.orderBy(*order_by)) - 1 + F.lit(before)
+        rows = df.filter(slice_.eqNullSafe(F.lit(at))).withColumn("position", rank.cast("long"))
+        rows = rows.filter(F.col("position").isin(places))
+        kept = rows if kept is None else kept.unionByName(rows)
+    return df.limit(0).withColumn("position", F.lit(0).cast("long")) if kept is None else kept
+
+
+def _holding(counts: DataFrame, wanted: Sequence[int]) -> list[tuple]:
+    """(value, rows before it, wanted positions in it) of the values that hold wanted rows."""
+    coarse = F.col("at")
+    if isinstance(counts.schema["at"].dataType, (T.TimestampType, T.TimestampNTZType)):
+        coarse = F.date_trunc("day", "at")
+    days = counts.groupBy(coarse.alias("day")).agg(F.sum("n").alias("n"))
+    running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    begun = days.withColumn("day_before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    inside = Window.partitionBy("day").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("day_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    placed = counts.withColumn("day", coarse).join(
+        begun.withColumnRenamed("day", "d").drop("n"), F.col("day").eqNullSafe(F.col("d")))
+    held = F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (
+        w >= F.col("before")) & (w < F.col("before") + F.col("n")))
+    rows = placed.withColumn("before", before).select("at", "before", held.alias("held")).filter(
+        "size(held) > 0").collect() if wanted else []  # as many rows as wanted positions at most
+    return [(r["at"], r["before"], r["held"]) for r in rows]

@@ -97,31 +97,24 @@ def nearest_match(
 
 def first_at_or_after(
     points: DataFrame, ticks: DataFrame, point_ts: str, tick_ts: str, name: str,
-    slice_seconds: int = 60,
+    at_once: int = 256,
 ) -> DataFrame:
     """Add the first tick time at or after each point, missing where there is none.
 
-    The point's own slice is searched row by row; beyond it the earliest tick per
-    slice is enough, a table of one row per slice of the covered time.
+    Points are run starts, one row a run: their times go to the driver, and the ticks are read
+    once for each ``at_once`` of them, as one minimum a point that combines map-side.
     """
-    width = slice_seconds * _SECOND
-    clock = ticks.filter(F.col(tick_ts).isNotNull()).select(micros(tick_ts).alias("us"))
-    timed = points.withColumn("us", micros(point_ts))
-    bare = clock.withColumn("ord", F.struct("us")).withColumn("payload", F.struct("us"))
-    near = _neighbours(timed.filter("us is not null").select("us"), bare, width, reach=0).select(
-        "us", F.col("after.us").alias("near_us"))
-    firsts = clock.groupBy(_slice(F.col("us"), width).alias("slice")).agg(
-        F.min("us").alias("first_us"))
-    later = Window.orderBy(F.desc("slice")).rangeBetween(Window.unboundedPreceding, -1)
-    beyond = (
-        timed.select("us", _slice(F.col("us"), width).alias("slice")).distinct()
-        .unionByName(firsts, allowMissingColumns=True)
-        .withColumn("later_us", F.min("first_us").over(later))
-        .filter("us is not null")
-        .select("us", "later_us")
-    )
-    return (
-        timed.join(near, "us", "left").join(beyond, "us", "left")
-        .withColumn(name, F.timestamp_micros(F.coalesce("near_us", "later_us")))
-        .drop("us", "near_us", "later_us")
-    )
+    spark = points.sparkSession
+    timed = points.withColumn("_us", micros(point_ts))
+    times = sorted(r[0] for r in timed.select("_us").distinct().collect() if r[0] is not None)
+    clock = ticks.select(micros(tick_ts).alias("us"))
+    found = []
+    for begin in range(0, len(times), at_once):
+        part = times[begin:begin + at_once]
+        row = clock.agg(*[
+            F.min(F.when(F.col("us") >= t, F.col("us"))).alias(f"m{i}")
+            for i, t in enumerate(part)]).first()
+        found += zip(part, row, strict=True)
+    firsts = spark.createDataFrame(found, "_at long, _first long")
+    return timed.join(firsts, timed["_us"] == firsts["_at"], "left").withColumn(
+        name, F.timestamp_micros("_first")).drop("_us", "_at", "_first")

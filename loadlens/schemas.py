@@ -86,6 +86,10 @@ _HOST_NUMBER = re.compile(
     r"(cpu|gpu|ram|memory)_(.+_)?(percent|percent_total|mb|w)|emissions_kg|duration_sec")
 
 
+# Columns without which a host report stops.
+HOST_REQUIRED = ["timestamp", "memory_percent", "gpu_0_util_percent", "gpu_0_mem_used_mb"]
+
+
 def host_column_type(name: str) -> T.DataType:
     """Type of a host-metrics column, told from its name."""
     if name == "timestamp":

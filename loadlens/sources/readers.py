@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import csv
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,48 @@ from loadlens.functions.columns import require_columns
 log = logging.getLogger(__name__)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, from its first line."""
-    first = spark.read.text(path).head()
-    return next(csv.reader([first.value])) if first else []
+# Files whose first line is looked up at a time.
+_LOOKUPS = 8
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files of a folder by their header; empty files are left out.
+
+    Files are listed without being read, then the first line of each is fetched.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(paths).filter(
+        "length > 0").select("path").collect())
+
+    def header(file: str) -> tuple[str, ...]:
+        first = spark.read.text(file).head()
+        return tuple(next(csv.reader([first.value]), ())) if first else ()
+
+    with ThreadPool(_LOOKUPS) as pool:
+        found = pool.map(header, files)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in zip(files, found, strict=True):
+        if names:
+            groups.setdefault(names, []).append(file)
+    return groups
+
+
+def _by_header(
+    spark: SparkSession, path: str | Sequence[str],
+    read: Callable[[list[str], list[str]], DataFrame],
+) -> DataFrame:
+    """One scan for each header found, put together by column name.
+
+    ``read`` gets the column names and the files that have them.  Columns a file lacks are
+    missing in its rows.
+    """
+    frames = [read(list(names), files) for names, files in _headers(spark, path).items()]
+    if not frames:
+        raise ValueError(f"no rows in {path}")
+    whole = frames[0]
+    for more in frames[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    return whole
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
@@ -61,50 +100,55 @@ def read_load_samples(spark: SparkSession, path: str, multi_line: bool = True) -
     Quoted fields may hold line breaks, which keeps a file in one task: write the
     result to Parquet once and analyse that.
     """
-    layout = ragged_layout(_header(spark, path))
-    return drop_surplus(spark.read.csv(path, schema=layout, multiLine=multi_line, **RAGGED))
+    return _by_header(spark, path, lambda names, files: drop_surplus(spark.read.csv(
+        files, schema=ragged_layout(names), multiLine=multi_line, **RAGGED)))
 
 
-def read_host_metrics(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Host metrics with however many core and GPU columns the header names.
+def read_host_metrics(
+    spark: SparkSession, path: str, strict: bool = True,
+    required: Sequence[str] = ("timestamp",), wanted: Sequence[str] = (),
+) -> DataFrame:
+    """Host metrics with however many core and GPU columns the headers name.
 
-    A file without ``timestamp`` is an error, or with ``strict`` off a warning.
+    A ``required`` column that no file has is an error, or with ``strict`` off a warning; a
+    ``wanted`` one is a warning.  A report on one host requires ``schemas.HOST_REQUIRED``.
     """
-    layout = schemas.layout(_header(spark, path), schemas.host_column_type)
-    df = spark.read.csv(path, schema=layout, header=True)
-    require_columns(df, ["timestamp"], strict)
-    return with_file_order(df)
+    df = _by_header(spark, path, lambda names, files: with_file_order(spark.read.csv(
+        files, schema=schemas.layout(names, schemas.host_column_type), header=True)))
+    require_columns(df, required, strict)
+    require_columns(df, wanted, strict=False)
+    return df
 
 
 def read_emissions(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Emissions with ISO timestamps, read as local time of ``zone``; sort at output only."""
     known = {column for column, _, _ in schemas.EMISSION_METRICS}
-    layout = schemas.layout(
-        _header(spark, path), lambda n: T.DoubleType() if n in known else T.StringType())
-    df = spark.read.csv(path, schema=layout, header=True)
+    df = _by_header(spark, path, lambda names, files: with_file_order(spark.read.csv(
+        files, header=True, schema=schemas.layout(
+            names, lambda n: T.DoubleType() if n in known else T.StringType()))))
     require_columns(df, ["timestamp"])
-    return with_file_order(df).withColumn(
-        "timestamp", F.to_utc_timestamp(F.to_timestamp("timestamp"), zone))
+    return df.withColumn("timestamp", F.to_utc_timestamp(F.to_timestamp("timestamp"), zone))
 
 
 def read_user_bins(spark: SparkSession, paths: Sequence[str], strict: bool = False) -> DataFrame:
     """User bins of several runs; ``run_id`` is the place of the path in the list.
 
-    Missing files are skipped with a warning, or raise when ``strict``.
+    Files that are missing, empty or without ``bin_start_timestamp`` are skipped with a warning,
+    or raise when ``strict``.
     """
     runs = []
     for run_id, path in enumerate(paths):
         try:
-            names = _header(spark, path)
-        except AnalysisException:
+            df = _by_header(spark, path, lambda names, files: with_file_order(spark.read.csv(
+                files, header=True, schema=schemas.layout(
+                    names, lambda n: schemas.USER_BINS.get(n, T.StringType())))))
+            require_columns(df, ["bin_start_timestamp"])
+        except (AnalysisException, ValueError) as error:
             if strict:
                 raise
-            log.warning("run file %s not found, skipped", path)
+            log.warning("run file %s skipped: %s", path, str(error).split("\n")[0])
             continue
-        layout = schemas.layout(names, lambda n: schemas.USER_BINS.get(n, T.StringType()))
-        df = spark.read.csv(path, schema=layout, header=True)
-        require_columns(df, ["bin_start_timestamp"])
-        runs.append(with_file_order(df).withColumn("run_id", F.lit(run_id)))
+        runs.append(df.withColumn("run_id", F.lit(run_id)))
     if not runs:
         raise ValueError("no run file found")
     bins = runs[0]
@@ -177,11 +221,11 @@ def read_spans(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     Values may hold line breaks, which keeps a file in one task: write the result
     to Parquet once and evaluate that.
     """
-    layout = schemas.layout(_header(spark, path), lambda _: T.StringType())
-    rows = spark.read.csv(
-        path, schema=layout, header=True, multiLine=multi_line, escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return keep_answered(with_file_order(rows))
+    return keep_answered(_by_header(spark, path, lambda names, files: with_file_order(
+        spark.read.csv(
+            files, schema=schemas.layout(names, lambda _: T.StringType()), header=True,
+            multiLine=multi_line, escape='"', ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False))))
 
 
 def read_chat(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

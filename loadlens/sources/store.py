@@ -1,25 +1,73 @@
-"""Tables written to the shared folder between steps."""
+"""Tables written to the shared folder between steps, and their removal."""
 
 from __future__ import annotations
 
+import atexit
+import logging
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loadlens.session import shared_dir
 
+log = logging.getLogger(__name__)
+
+# Folders made for each application, by its id.
+_FOLDERS: dict[str, list[str]] = {}
+
 
 def new_folder(spark: SparkSession) -> str:
-    """Path of a folder of its own below the shared folder."""
-    return f"{shared_dir(spark)}/loadlens-{uuid.uuid4().hex}"
+    """Path of a folder of its own below the shared folder, gone when the session ends."""
+    path = f"{shared_dir(spark)}/loadlens-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = hadoop.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders made in this application; results that read them are done with."""
+    _delete(spark, _FOLDERS.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside are deleted at the end: write or collect the results before it."""
+    made = _FOLDERS.setdefault(spark.sparkContext.applicationId, [])
+    kept = len(made)
+    try:
+        yield
+    finally:
+        mine = made[kept:]
+        del made[kept:]
+        _delete(spark, mine)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _FOLDERS:
+        try:
+            release(spark)
+        except Exception as error:  # the context may be gone already
+            log.debug("folders were left: %s", error)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    For small tables that later steps use several times, such as user bins: the
-    samples behind them are scanned once, a lost executor costs no recomputation,
-    and the planner knows the true size, so it broadcasts them only if they are small.
+    For tables that later steps use several times, such as user bins: what is behind them is
+    worked out once, a lost executor costs no recomputation, and the planner knows the true
+    size, so it broadcasts them only if they are small.  The folder goes with the session, or
+    with the :func:`scratch` it was made in.
     """
     path = new_folder(df.sparkSession)
     df.write.parquet(path)

@@ -10,9 +10,13 @@ from loadlens.sources.readers import RAGGED, drop_surplus, ragged_layout
 
 
 def stream_host_metrics(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """Host-metrics CSV files of ``folder`` as a stream; ``names`` are the header's columns."""
+    """Host-metrics CSV files of ``folder`` as a stream; ``names`` are the header's columns.
+
+    A file with another header stops the stream, as its columns would be taken for others.
+    """
     layout = schemas.layout(names, schemas.host_column_type)
-    return spark.readStream.schema(layout).csv(folder, header=True).withColumn(
+    return spark.readStream.schema(layout).csv(
+        folder, header=True, enforceSchema=False).withColumn(
         "datetime", F.timestamp_millis("timestamp"))
 
 

@@ -6,9 +6,9 @@ reach and returns the query; output of a repeated batch replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,8 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 from loadlens.functions.numbers import floor_bin, percent
 from loadlens.operators import capacity
 
-_SALTS = 16
-_ALERTS = "user_bin bigint, total_requests bigint, failed_requests bigint, error_rate double"
 
 
 def live_host_metrics(
@@ -50,34 +48,67 @@ def live_user_bins(samples: DataFrame, width: int = 10) -> DataFrame:
     )
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
-    """Queries started inside keep their state in ``n`` partitions, by default one per core.
+def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of its own for streaming queries, with state in ``state_partitions`` partitions.
 
-    A query keeps the number it first started with, so choose it for the load to come.
+    By default one per core.  A query keeps the number it first started with, so choose it for
+    the load to come.  Read the stream with this session; others keep their settings.
     """
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(n or spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    child = spark.newSession()
+    child.conf.set("spark.sql.shuffle.partitions",
+                   str(state_partitions or spark.sparkContext.defaultParallelism))
+    child.conf.set("spark.sql.session.timeZone", "UTC")
+    return child
 
 
 def _start(df: DataFrame, mode: str, folder: str, write, once: bool) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).option(
         "checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
-    with state_partitions(df.sparkSession):
-        return (writer.trigger(availableNow=True) if once else writer).start()
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def run_append(df: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
     """Append finished rows to Parquet under ``folder``/rows."""
     writer = df.writeStream.outputMode("append").format("parquet").option(
         "checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
-    with state_partitions(df.sparkSession):
-        return (writer.trigger(availableNow=True) if once else writer).start()
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _slots(spark: SparkSession, path: str) -> dict[int, tuple[DataFrame, int]]:
+    """The tables kept under ``path`` by slot, with the batch that wrote them."""
+    found = {}
+    for slot in (0, 1):
+        try:
+            rows = spark.read.parquet(f"{path}/slot={slot}")
+        except AnalysisException:  # not written yet
+            continue
+        batch = rows.agg(F.max("written")).first()[0]
+        if batch is not None:
+            found[slot] = rows.drop("written"), batch
+    return found
+
+
+def _replace(rows: DataFrame, path: str, batch_id: int, slot: int) -> None:
+    rows.withColumn("written", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+        f"{path}/slot={slot}")
+
+
+def _older(slots: dict[int, tuple[DataFrame, int]], batch_id: int) -> int:
+    """Slot that may be overwritten: not the newest one of an earlier batch."""
+    earlier = {s: b for s, (_, b) in slots.items() if b < batch_id}
+    return 1 - max(earlier, key=earlier.get) if earlier else 0
+
+
+def latest_batch(spark: SparkSession, path: str) -> DataFrame:
+    """The newest table under ``path``.
+
+    Tables are kept in two slots in turn, so one is whole while the other is being written, and
+    the number of folders stays the same however long the query runs.
+    """
+    slots = _slots(spark, path)
+    if not slots:
+        raise ValueError(f"nothing was written to {path}")
+    return max(slots.values(), key=lambda s: s[1])[0]
 
 
 def run_user_bins(
@@ -86,58 +117,56 @@ def run_user_bins(
     """Keep the user bins of :func:`capacity.user_bins` current under ``folder``/bins.
 
     The mean over concurrency levels needs a second aggregation, so each batch
-    hands the whole table of levels, one row each, to a batch aggregate.
+    hands the whole table of levels, one row each, to a batch aggregate.  Read the
+    result with :func:`latest_batch`.
     """
+    path = f"{folder}/bins"
+
     def store(levels: DataFrame, batch_id: int) -> None:
-        capacity.bin_stats(levels, width).write.mode("overwrite").parquet(
-            f"{folder}/bins/batch={batch_id}")
+        slot = _older(_slots(levels.sparkSession, path), batch_id)
+        _replace(capacity.bin_stats(levels, width), path, batch_id, slot)
 
     return _start(capacity.thread_stats(samples), "complete", folder, store, once)
 
 
-def latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest batch under ``path``."""
-    stored = spark.read.parquet(path)
-    newest = stored.agg(F.max("batch")).scalar()
-    return stored.filter(F.col("batch") == newest).drop("batch")
-
-
 def run_saturation_alerts(
     samples: DataFrame, folder: str, threshold: float = 5.0, width: int = 10, once: bool = True
 ) -> StreamingQuery:
-    """Write one alert per bin to ``folder``/alerts when its running error rate passes ``threshold``.
+    """Keep one alert per bin whose running error rate passed ``threshold`` in ``folder``/alerts.
 
-    Each batch looks at the bins it changed and leaves out those an earlier batch
-    reported; there is at most one alert per bin.
+    Each batch adds the bins it changed that no earlier batch reported, with their totals at
+    that time.  The table has a row per bin at most and is read with :func:`latest_batch`; it
+    stands once a first alert was raised.
     """
     path = f"{folder}/alerts"
-    spark = samples.sparkSession
-    spark.createDataFrame([], _ALERTS).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def report(changed: DataFrame, batch_id: int) -> None:
         session = changed.sparkSession
-        known = session.read.schema(f"{_ALERTS}, batch bigint").parquet(path).filter(
-            F.col("batch") < batch_id)
+        slots = _slots(session, path)
+        slot = _older(slots, batch_id)
         raised = changed.filter(F.col("error_rate") > threshold).select(
             "user_bin", "total_requests", "failed_requests", "error_rate")
-        raised.join(known, "user_bin", "left_anti").write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
+        if 1 - slot in slots and slots[1 - slot][1] < batch_id:
+            known = slots[1 - slot][0]
+            raised = known.unionByName(raised.join(known, "user_bin", "left_anti"))
+        _replace(raised, path, batch_id, slot)
 
     return _start(live_user_bins(samples, width), "update", folder, report, once)
 
 
 def live_dedup(
     spans: DataFrame, ts: str = "start_time", late: str = "10 minutes",
-    row_id: Sequence[str] = ("`context.span_id`",),
+    row_id: Sequence[str] = ("`context.span_id`",), salts: int = 16,
 ) -> DataFrame:
     """First span of each question as it arrives; repeats within ``late`` are dropped.
 
     Rows are first thinned out per question and salt, so a question with many
-    repeats is spread over several tasks before its survivors meet in one.
+    repeats is spread over ``salts`` tasks before its survivors meet in one; take about as many
+    as the cluster has cores.
     Unlike ``mark_duplicates`` it forgets questions older than the watermark.
     """
     salted = spans.withWatermark(ts, late).withColumn(
-        "_salt", F.pmod(F.xxhash64(*row_id), F.lit(_SALTS)))
+        "_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)))
     return (
         salted.dropDuplicatesWithinWatermark(["question", "_salt"])
         .dropDuplicatesWithinWatermark(["question"])

@@ -60,7 +60,8 @@ def test_alert_once_per_bin(spark, sample_folder, tmp_path):
     out = str(tmp_path / "out")
     live.run_saturation_alerts(
         one_file_per_batch(spark, sample_folder, NAMES), out, threshold=28.0).awaitTermination()
-    alerts = spark.read.parquet(f"{out}/alerts").toPandas()
+    alerts = live.latest_batch(spark, f"{out}/alerts").toPandas()
+    assert sorted(p.name for p in (tmp_path / "out" / "alerts").iterdir()) == ["slot=0", "slot=1"]
     assert alerts["user_bin"].is_unique and len(alerts)
     assert alerts["error_rate"].gt(28.0).all()
     # Running totals after each file tell which bins were ever above the threshold.
@@ -128,6 +129,22 @@ def test_dedup_keeps_one_per_question(spark, tmp_path):
     assert got["question"].is_unique and set(got["question"]) == want
 
 
+def test_other_header_stops_the_stream(spark, tmp_path):
+    folder = tmp_path / "host"
+    folder.mkdir()
+    (folder / "a.csv").write_text("memory_percent,timestamp\n1,2\n")
+    stream = stream_host_metrics(spark, str(folder), ["timestamp", "memory_percent"])
+    with pytest.raises(Exception, match="header"):
+        live.run_append(stream, str(tmp_path / "out")).awaitTermination()
+
+
+def test_settings_of_the_caller_stay(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    child = live.streaming_session(spark, 3)
+    assert child.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_shared_dir_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_dir(spark)
