@@ -178,8 +178,11 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, cost: float = 1.0,
             [pa.array([weights.tobytes()]), *(pa.array([float(v)]) for v in result[1:])],
             ["weights", "bias", "slope", "offset"])
 
-    [row] = sample.mapInArrow(
+    rows = sample.mapInArrow(
         run, "weights binary, bias double, slope double, offset double").collect()
+    if not rows:  # an empty table may have no partition to run on
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1e-3, 0.0)
+    [row] = rows
     return Model(np.frombuffer(row.weights, np.float32), row.bias, row.slope, row.offset)
 
 

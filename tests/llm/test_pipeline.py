@@ -1,0 +1,48 @@
+"""The corpus pipeline: columns, what each stage keeps, planted cases, odd inputs."""
+
+import corpus_pipeline
+from loadlens.llm import decontaminate, minhash
+from loadlens.sources.store import stored
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = stored(stage(spark, kept, SF_DIR))
+        assert new.columns == docs.columns and new.schema == docs.schema
+        before, after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (kept, new))
+        assert after <= before and new.count() == len(after)
+        if name == "near_dedup":
+            near = minhash.near_duplicates(kept).collect()
+            assert before - after == {r.doc_id for r in near if not r.kept}
+        if name == "decontamination":
+            found = decontaminate.matches(kept, bench).collect()
+            assert before - after == {r.doc_id for r in found}
+        if name == "line_dedup":
+            assert before == after
+        kept = new
+    mixed = corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR).collect()
+    assert {r.doc_id for r in mixed} == after and all(0 <= r.taken <= 3 * r.size for r in mixed)
+    assert sorted(map(str, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(str, mixed))
+
+
+def test_odd_documents(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    some = docs.limit(60).collect()
+    odd = [(9001, None, "en", "s", 0), (9002, "", None, None, None), (9003, "123", "en", "s", 3),
+           (None, some[0].text, "en", None, 5)]
+    rows = [tuple(r) for r in some] + [tuple(some[1])] + odd
+    kept = spark.createDataFrame(rows, docs.schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, kept, SF_DIR))
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert not {9001, 9002, 9003} & set(ids) and None in ids
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR).count() == len(ids)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stored(stage(spark, empty, SF_DIR))
+    assert empty.count() == 0
