@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.llm.words import U64, Words, constants, mix, slices
+from loadlens.sources.store import stored
 
 BITS = 18           # feature buckets: 2 ** BITS
-MAX_ROWS = 8000     # labelled rows the linear model is fitted on; counts use all labelled rows
+MAX_ROWS = 10_000   # labels learned from, at most
 _LAST = np.uint64(64 - BITS)
 
 
@@ -85,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_count_ratios(labelled: DataFrame, alpha: float = 1.0) -> np.ndarray:
     """Log ratio of a feature's share among rows of class 1 to that among rows of class 0.
 
-    Counted over all of ``labelled`` (text, y); at most 2 ** BITS sums reach the driver.
+    Counted over ``labelled`` (text, y); at most 2 ** BITS sums reach the driver.
     """
     sums = (labelled.mapInArrow(_counts, "id long, c0 long, c1 long")
             .groupBy("id").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow())
@@ -95,6 +96,17 @@ def log_count_ratios(labelled: DataFrame, alpha: float = 1.0) -> np.ndarray:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            ids = [i.astype(np.int32) for i in _features(part.column("text"))]
+            at = np.cumsum([0, *map(len, ids)])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("h"), part.column("y"), pa.ListArray.from_arrays(
+                    pa.array(at, pa.int32()), pa.array(np.concatenate(ids)))],
+                ["h", "y", "ids"])
+
+
 def _descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float,
              epochs: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss: one dual variable a row, box [0, cost]."""
@@ -136,28 +148,36 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3) / spread, float(w[1])
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, cost: float = 1.0,
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cost: float = 1.0,
         epochs: int = 20) -> Model:
-    """Fit on ``labelled`` (key, text, y): y is 0 or 1, rows with another label are left out.
+    """Fit on ``docs`` (key, text) with ``labels`` (key, y); labels other than 0 and 1 are left out.
 
-    Log-count ratios are taken over all rows.  The machine itself is fitted in one task on the
-    ``max_rows`` rows with the smallest hash of key (a documented bound: a linear model gains
-    little beyond it), four fifths for the weights and a fifth for the curve of the score.
-    With no rows, or rows of one class only, the score is that class's smoothed share.
+    The ``max_rows`` labels with the smallest hash of key are used, a documented bound: a linear
+    model gains little beyond it, and so few labels are sent to the texts instead of the texts
+    to them.  Features are taken where the texts are; one task fits the machine, on four fifths
+    of the rows, and the curve of the score on the other fifth.  With no rows the score is 0.5,
+    with rows of one class only that class's smoothed share.
     """
-    labelled = labelled.filter("y in (0, 1)").select("key", "text", F.col("y").cast("int"))
+    sample = labels.filter("key is not null and y in (0, 1)").select(
+        "key", F.col("y").cast("int").alias("y")).orderBy(
+        F.xxhash64("key", "y"), "key", "y").limit(max_rows)
+    # At most max_rows rows.
+    labelled = docs.select("key", "text").join(F.broadcast(stored(sample)), "key").select(
+        "text", "y", F.xxhash64("key").alias("h"))
     scale = log_count_ratios(labelled.select("text", "y"))
-    ids = (labelled.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(max_rows))
-    sample = (labelled.join(ids, "key", "left_semi")
-              .select("y", "text", F.xxhash64("key").alias("h")).coalesce(1))
+    bags = labelled.mapInArrow(_bags, "h long, y int, ids array<int>").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y, h = [], [], []
         for batch in batches:
-            for part in slices(batch):
-                rows += [ids.astype(np.int32) for ids in _features(part.column("text"))]
-                y += part.column("y").to_pylist()
-                h += part.column("h").to_pylist()
+            flat = np.asarray(batch.column("ids").flatten())
+            at = np.asarray(batch.column("ids").offsets)
+            at = at - at[0]
+            rows += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            y += batch.column("y").to_pylist()
+            h += batch.column("h").to_pylist()
+        if not rows:
+            return
         order = sorted(range(len(rows)), key=lambda i: (h[i], y[i], len(rows[i])))
         rows, y = [rows[i] for i in order], np.array([2.0 * y[i] - 1 for i in order])
         if len(set(y.tolist())) < 2:
@@ -178,9 +198,9 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, cost: float = 1.0,
             [pa.array([weights.tobytes()]), *(pa.array([float(v)]) for v in result[1:])],
             ["weights", "bias", "slope", "offset"])
 
-    rows = sample.mapInArrow(
+    rows = bags.mapInArrow(
         run, "weights binary, bias double, slope double, offset double").collect()
-    if not rows:  # an empty table may have no partition to run on
+    if not rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1e-3, 0.0)
     [row] = rows
     return Model(np.frombuffer(row.weights, np.float32), row.bias, row.slope, row.offset)
@@ -221,7 +241,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = remainder(F.col("doc_id"), 5) == 0
-    known = labels.filter("quality in (0, 1)").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).filter(~held)
-    model = fit(docs.join(known, "doc_id").select(F.col("doc_id").alias("key"), "text", "y"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held)
+    model = fit(docs.withColumnRenamed("doc_id", "key"), known.select(
+        F.col("doc_id").alias("key"), F.col("quality").alias("y")))
     return score(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), model, threshold)
