@@ -53,9 +53,9 @@ def test_planted(spark):
         text = prose(int(rng.integers(0, 60)))
         if d % 2:
             item = items[int(rng.integers(0, 25))][1].split()
-            for _ in range(d % 4):
+            if d % 8 == 7:
                 item[int(rng.integers(0, len(item)))] = "changed"
-            if d % 5 == 0:
+            if d % 15 == 0:
                 item.insert(len(item) // 2, "more")
             text = text + item + prose(int(rng.integers(0, 30)))
         docs.append((d, ", ".join(text).upper() if d % 3 else " ".join(text)))
