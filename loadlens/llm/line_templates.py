@@ -21,9 +21,14 @@ def _lines(text: str | Column) -> Column:
 
 
 def _tokens(line: str) -> Column:
-    """Tokens of a line; those with a digit are variable fields."""
-    masked = F.regexp_replace(F.col(line), _VARIABLE, FIELD)
-    return F.split(F.regexp_replace(masked, rf"^{_BLANKS}|{_BLANKS}$", ""), _BLANKS)
+    """Tokens of a line; those with a digit are variable fields.
+
+    Most lines have no digit and single blanks, so the patterns run only where they must.
+    """
+    bare = F.btrim(F.col(line), F.lit(" \t\n\x0b\x0c\r"))
+    masked = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, _VARIABLE, FIELD)).otherwise(bare)
+    return F.when(masked.rlike(r"[\x09-\x0D]|\x20\x20"), F.split(masked, _BLANKS)).otherwise(
+        F.split(masked, " "))
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
