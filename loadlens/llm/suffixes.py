@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadlens.llm.words import U64, constants, mix, slices, text_bytes
 
@@ -240,43 +241,53 @@ def _snippet_rows(groups: int):
     return run
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
+def _dense(keys: np.ndarray) -> np.ndarray:
     """Names 1, 2, 3 ... of the distinct keys, in their order."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        k = key[order]
-        new[1:] |= k[1:] != k[:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new) + 1
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    names = np.empty(len(own), np.int64)
+    names[order] = np.cumsum(new)
     return names
 
 
+def _triples(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Names of triples of names below 2 ** 31."""
+    top = int(max(x.max(initial=0), y.max(initial=0), z.max(initial=0))) + 1
+    if top < 1 << 21:
+        return _dense((x * top + y) * top + z)
+    return _dense(_dense(x * top + y) * top + z)
+
+
 def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """``starts`` in the lexicographic order of the suffixes there, to ``depth`` bytes at least.
 
-    The places of the cover, those not divisible by 3, are named by their triples of bytes; then
-    names by triples of names, three times as deep each time (i, i + 3 and i + 6 are all in the
-    cover), until they reach the depth.  The remaining suffixes are sorted by their first byte
-    and the name behind it and merged: for any i and j, one of i + 1, j + 1 and i + 2, j + 2 is a
-    pair in the cover.
+    The places of the cover, those not divisible by 3, are named by their first seven bytes, and
+    then by triples of names, about three times as deep each time (steps are multiples of 3, so
+    all places of a triple are in the cover), until names reach the depth.  The remaining
+    suffixes are sorted by their first byte and the name behind it and merged: for any i and j,
+    one of i + 1, j + 1 and i + 2, j + 2 is a pair in the cover.
     """
     size = len(text)
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(3, np.int64)])
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
     cover = np.flatnonzero(np.arange(size) % 3)
     slot = np.zeros(size + 3, np.int64)
     slot[cover] = np.arange(1, len(cover) + 1)
     names = np.zeros(len(cover) + 1, np.int64)
-    names[1:] = (padded[cover] * 257 + padded[cover + 1]) * 257 + padded[cover + 2]
-    reach = 3
+    if len(cover):
+        seven = np.zeros(len(cover), np.int64)
+        for i in range(7):  # bytes and the end of text are 257 values
+            seven = seven * 257 + padded[cover + i]
+        names[1:] = _dense(seven)
+    reach = 7
 
     def ahead(by: int) -> np.ndarray:
-        at = cover + by
-        return names[slot[np.minimum(at, size)]]
+        return names[slot[np.minimum(cover + by, size)]]
 
     while reach < depth and len(cover):
-        step = min(reach, 3 * ((depth - reach + 5) // 6))
-        names[1:] = _dense(ahead(0), ahead(step), ahead(2 * step))
+        step = min(reach - reach % 3, 3 * ((depth - reach + 5) // 6))
+        names[1:] = _triples(ahead(0), ahead(step), ahead(2 * step))
         reach += 2 * step
     rank = np.zeros(size + 3, np.int64)
     rank[cover] = names[1:]
@@ -307,10 +318,10 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> n
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Runs of windows of a group that also start in a smaller document."""
-    row, start, stop = (table.column(c).to_numpy() for c in ("row", "start", "stop"))
+    docs, row, start, stop = (
+        table.column(c).to_numpy() for c in ("doc_id", "row", "start", "stop"))
     if table.column("part")[0].as_py() < 0:
-        return pa.table({"row": row, "start": start, "stop": stop})
-    docs = table.column("doc_id").to_numpy()
+        return pa.table({"doc_id": docs, "row": row, "start": start, "stop": stop})
     texts = table.column("bytes").combine_chunks()
     size = stop - start
     ends = np.cumsum(size)
@@ -340,18 +351,20 @@ def _repeats(table: pa.Table) -> pa.Table:
     final = repeat.copy()
     final[:-1] &= ~repeat[1:] | (of[1:] != of[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(final)
-    return pa.table({"row": row[of[a]], "start": (start[of[a]] + inner[a]).astype(np.int32),
+    return pa.table({"doc_id": docs[of[a]], "row": row[of[a]], "start": (start[of[a]] + inner[a]).astype(np.int32),
                      "stop": (start[of[b]] + inner[b] + LENGTH).astype(np.int32)})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, found in zip(batch.column("text"), batch.column("found").to_pylist(),
-                               strict=True):
+        for text, row, found, gone in zip(batch.column("text"), *(
+                batch.column(c).to_pylist() for c in ("row", "found", "gone")), strict=True):
             data = (text.as_py() or "").encode()
             spans: list[list[int]] = []
-            for start, stop in sorted((f["start"], f["stop"]) for f in found or ()):
+            whole = [(0, len(data))] if row in (gone or ()) else sorted(
+                (f["start"], f["stop"]) for f in found or () if f["row"] == row)
+            for start, stop in whole:
                 if spans and start <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], stop)
                 else:
@@ -387,19 +400,44 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     judged by its own text against documents with smaller ids.  Other columns are ignored.
     """
     groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    shared = (long.select("doc_id", "text")
+    if docs.schema["doc_id"].dataType != T.LongType():
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text")
+    row = F.xxhash64("doc_id", "text").alias("row")
+    # All joins below are on doc_id alone, so they share one shuffle of the texts.
+    known = docs.filter("doc_id is not null").select("doc_id", "text", row)
+    copies = _copies(docs)
+    own = known.join(copies, "doc_id", "left").filter(
+        F.col("gone").isNull() | ~F.array_contains("gone", F.col("row")))
+    shared = (own.select("doc_id", "text")
               .mapInArrow(_anchor_rows(groups), "part long, anchors binary")
               .groupBy("part").applyInArrow(_shared, "doc_id long, pos int"))
     places = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    snippets = long.join(places, "doc_id").select("doc_id", "row", "text", "places").mapInArrow(
+    snippets = own.join(places, "doc_id").select("doc_id", "row", "text", "places").mapInArrow(
         _snippet_rows(groups), "part long, doc_id long, row long, start int, stop int, bytes binary")
-    repeats = snippets.groupBy("part").applyInArrow(_repeats, "row long, start int, stop int")
-    found = repeats.groupBy(F.col("row").alias("key")).agg(
-        F.collect_list(F.struct("start", "stop")).alias("found"))
-    return rows.join(found, rows.row == found.key, "left").select(
-        "doc_id", "text", "found").mapInArrow(
+    repeats = snippets.groupBy("part").applyInArrow(
+        _repeats, "doc_id long, row long, start int, stop int")
+    found = repeats.groupBy("doc_id").agg(
+        F.collect_list(F.struct("row", "start", "stop")).alias("found"))
+    cut = known.join(copies, "doc_id", "left").join(found, "doc_id", "left").select(
+        "doc_id", "text", "row", "found", "gone")
+    rest = docs.filter("doc_id is null").select("doc_id", "text", row)
+    return cut.unionByName(rest, allowMissingColumns=True).mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<start: long, stop: long>>")
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, gone) whose whole text is that of a document with a smaller doc_id.
+
+    Each of their strings is in that document too, so they are reasons for nothing that it is
+    not, and they are removed whole.
+    """
+    same = ["t1", "t2", "n"]
+    texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("t1"),
+        F.hash("text").alias("t2"), F.octet_length("text").alias("n"))
+    firsts = texts.groupBy(*same).agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return texts.join(firsts, same).filter("doc_id > first").groupBy("doc_id").agg(
+        F.collect_set("row").alias("gone"))
