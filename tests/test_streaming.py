@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -75,6 +76,27 @@ def test_alert_once_per_bin(spark, sample_folder, tmp_path):
     assert set(alerts["user_bin"]) == ever
 
 
+def test_alerts_of_earlier_batches_stay(spark, sample_folder, tmp_path):
+    """Files a second apart arrive in the order of their names; the rates fall from file to file."""
+    for part in range(4):
+        os.utime(sample_folder / f"{part}.csv", (1_700_000_000 + part,) * 2)
+    out, held = str(tmp_path / "out"), []
+    query = live.run_saturation_alerts(
+        one_file_per_batch(spark, sample_folder, NAMES), out, threshold=28.0)
+    query.awaitTermination()
+    assert [p.numInputRows > 0 for p in query.recentProgress].count(True) == 4
+    alerts = {r.user_bin: r for r in live.latest_batch(spark, f"{out}/alerts").collect()}
+    frame = samples(spark, sample_folder, False).withColumn(
+        "part", ((F.unix_millis("timestamp") - 1_700_000_000_000) / 12_500).cast("int")).toPandas()
+    for last in range(4):
+        seen = frame[frame["part"] <= last]
+        for user_bin, rows in seen.groupby(seen["allthreads"] // 10 * 10):
+            if user_bin not in [b for b, _ in held] and 100 * (~rows["success"]).mean() > 28:
+                held.append((user_bin, len(rows)))
+    assert {b: r.total_requests for b, r in alerts.items()} == dict(held)
+    assert any(n < 20 for _, n in held)
+
+
 def test_live_bins_update_mode(spark, sample_folder, tmp_path):
     out = str(tmp_path / "out")
     totals = []
