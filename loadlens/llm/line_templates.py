@@ -41,8 +41,8 @@ def _parsed(docs: DataFrame) -> DataFrame:
         "leaf"), F.xxhash64("tokens").alias("line_hash"))
 
 
-def templates(docs: DataFrame, min_docs: int = MIN_DOCS,
-              likeness: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
+def templates(docs: DataFrame, min_docs: int = MIN_DOCS, likeness: float = LIKENESS,
+              families: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Recurring templates, and the lines that follow them.
 
     The first table has template, fixed, docs by leaf; the second doc_id, text_hash, line_no and
@@ -52,11 +52,16 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS,
     masked).  In a leaf, a token stays fixed at its place if ``min_docs`` lines have it there and
     becomes a field otherwise.  A template recurs if it is found in ``min_docs`` distinct texts
     (copies of a document count once) and at least the share ``likeness`` of its tokens is fixed,
-    so prose that merely begins alike is not taken for a template.
+    so prose that merely begins alike is not taken for a template.  With ``families`` (text_hash,
+    family; one row per text), all texts of a family count once.
     """
     parsed = _parsed(docs)
     lines = stored(parsed.drop("tokens"))
-    seen = stored(lines.select("leaf", "line_hash", "text_hash").distinct())
+    seen = lines.select("leaf", "line_hash", "text_hash").distinct()
+    if families is not None:
+        seen = seen.join(families, "text_hash", "left").select(
+            "leaf", "line_hash", F.coalesce("family", "text_hash").alias("text_hash")).distinct()
+    seen = stored(seen)
     leaves = (seen.select("leaf", "text_hash").distinct().groupBy("leaf").count()
               .filter(F.col("count") >= min_docs).select("leaf"))
     counts = seen.join(leaves, "leaf", "left_semi").groupBy("leaf", "line_hash").agg(
@@ -90,13 +95,15 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS,
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, likeness: float = LIKENESS,
-                         copies: float | None = None) -> DataFrame:
+                         copies: float | None = None,
+                         families: DataFrame | None = None) -> DataFrame:
     """``docs`` with text without its recurring lines, and n_lines, n_dropped, n_chars_dropped.
 
     Every line that follows a recurring template is dropped, in all documents.  With ``copies``,
     a document that would lose more than that share of its characters is taken for a copy of
     other documents rather than a carrier of common lines and is left whole, for near-duplicate
-    removal to judge.
+    removal to judge.  ``families`` (text_hash, the xxhash64 of a text, and family) makes near
+    copies count as one document instead, so lines that recur only inside them stay.
 
     All columns of ``docs`` are kept; columns named like the new ones are replaced.  Null and
     empty texts stay as they are, with 0 lines (null) or 1 (empty).  Blank lines are never
@@ -105,7 +112,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, likeness: fl
     """
     added = ["n_lines", "n_dropped", "n_chars_dropped"]
     docs = docs.drop(*added)
-    _, followed = templates(docs.select("doc_id", "text"), min_docs, likeness)
+    _, followed = templates(docs.select("doc_id", "text"), min_docs, likeness, families)
     dropped = followed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_set("line_no")).alias("_lines"))
     joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id"))

@@ -46,3 +46,22 @@ def test_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, SF_DIR))
     assert empty.count() == 0
+
+
+def test_recurring_lines_go_from_all_documents(spark):
+    """Pages mostly of a common block lose it; near copies of one text do not empty each other."""
+    block = [f"{w} lines of the common footer are the same in every page of this site"
+             for w in ("first", "second", "third", "fourth")]
+
+    def own(name, n):
+        return " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+
+    rows = [(i, "\n".join([own(f"s{chr(97 + i)}", 20), *block])) for i in range(8)]
+    rows += [(10 + i, "\n".join([own(f"l{chr(97 + i)}", 150), *block])) for i in range(8)]
+    copy = [own(f"c{chr(97 + i)}", 20) for i in range(12)]
+    rows += [(20 + i, "\n".join([*copy[:i], f"{copy[i]} and {own(f'e{chr(97 + i)}', 1)}",
+                                 *copy[i + 1:], *block])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_recurring_lines(
+        spark, docs, SF_DIR).collect()}
+    assert got == {i: "\n".join(text.split("\n")[:-4]) for i, text in rows}
