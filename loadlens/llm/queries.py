@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loadlens.catalog import Query
 from loadlens.llm import (
-    bm25, decontaminate, language, line_templates, minhash, mixing, nbsvm, passages, simhash,
-    suffixes, warc)
+    bm25, decontaminate, language, line_templates, merkle, minhash, mixing, nbsvm, passages,
+    simhash, suffixes, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and inclusion proof of every document, checked after tampering."""
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("path")
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents by fingerprints of three-word shingles."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -97,5 +102,6 @@ QUERIES = {
     "op8_language": Query(op8_language),
     "op9_mixing": Query(op9_mixing, mixing.SQL),
     "op10_suffixes": Query(op10_suffixes),
+    "op11_manifest": Query(op11_manifest, merkle.SQL),
     "op13_simhash": Query(op13_simhash),
 }
