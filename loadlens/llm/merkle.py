@@ -159,7 +159,7 @@ def manifest(docs: DataFrame, tamper: Callable[[Column, Column], Column] = witho
 
 
 # The unsigned crc32 of the characters of {0}, all ASCII; -1 stands for a shift by one bit.
-_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
   string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
   lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT)
                ELSE a // 2 END), 4294967295::BIGINT)"""
@@ -207,7 +207,7 @@ _OUTSIDE = """SELECT i.id, 0 AS level, s.tree, s.pos, i.proof, i.fold
 SQL = f"""WITH RECURSIVE given AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree,
          {_sql_leaf("text")} AS node,
-         CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 2 = 0
+         CASE WHEN {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} % 2 = 0
               THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf("text")} END AS changed
   FROM documents),
 leaves AS (

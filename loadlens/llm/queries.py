@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loadlens.catalog import Query
 from loadlens.llm import (
     bm25, decontaminate, language, line_templates, merkle, minhash, mixing, nbsvm, passages,
-    simhash, suffixes, warc)
+    repair, simhash, suffixes, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("path")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(conversations), conversations)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents by fingerprints of three-word shingles."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -103,5 +109,6 @@ QUERIES = {
     "op9_mixing": Query(op9_mixing, mixing.SQL),
     "op10_suffixes": Query(op10_suffixes),
     "op11_manifest": Query(op11_manifest, merkle.SQL),
+    "op12_repair": Query(op12_repair, repair.SQL),
     "op13_simhash": Query(op13_simhash),
 }

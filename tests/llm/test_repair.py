@@ -1,0 +1,211 @@
+"""Conversation repair against all edit sequences, its SQL, long conversations, odd inputs."""
+
+import hashlib
+import itertools
+import random
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from loadlens.llm import repair
+from loadlens.llm.queries import op12_repair
+
+sys.path.append(str(Path(__file__).parents[1]))
+from oracle import connect, differences  # noqa: E402
+
+LAYOUT = "conv_id long, turn long, role string, text string"
+ROLES = {"u": "user", "a": "assistant"}
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        shown = [" " if v is None else str(v) for v in (conv, turn)]
+        draw = zlib.crc32(":".join(shown).encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if draw == 1:
+            text = ""
+        if draw == 2:
+            text = re.sub("[.!?]", "", text)
+        if draw == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (0 if draw == 0 else 2 if draw == 3 else 1)
+    return out
+
+
+def marked(rows):
+    """(role, text, fault) of one conversation's rows in order."""
+    def place(r):
+        return (r[1] is not None, r[1] or 0, r[2].encode(), hashlib.sha256(r[3].encode()).hexdigest())
+    seen, out = set(), []
+    for _, _, role, text in sorted(rows, key=place):
+        words = re.sub(r"[\x20\x09-\x0D]+", "", text)
+        fault = ("blank" if not words else "duplicate" if (role, text) in seen
+                 else "truncated" if words[-1] not in ".!?" else "")
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def cheapest(rows):
+    """(cost, audit, text) by keeping the best prefix for each row and set of initials so far."""
+    def grown(said, role):
+        initials = said[0][-1:] + role[:1]  # only the last initial matters
+        return initials in ("s", "u") if not said[0] else initials in ("su", "ua", "au")
+
+    def better(table, key, value):
+        if key not in table or value < table[key]:
+            table[key] = value
+
+    def insertions(table):
+        for (last, texts), (cost, audit) in sorted(table.items(), key=lambda x: x[1]):
+            said = (last, texts)
+            for _ in range(3):
+                nxt = next((r for r in ROLES.values() if grown(said, r)), None)
+                said = (nxt[0], (*said[1], f"{nxt}:"))
+                cost, audit = cost + 3, audit + "I"
+                better(table, said, (cost, audit))
+        return prune(table)
+
+    def prune(table):
+        best = {}
+        for said, value in table.items():
+            if said[0] not in best or value < best[said[0]][0]:
+                best[said[0]] = (value, said)
+        return {said: value for value, said in best.values()}
+
+    table = {("", ()): (0, "")}
+    for role, text, fault in rows:
+        new = {}
+        for said, (cost, audit) in insertions(table).items():
+            better(new, said, (cost + 4, audit + "D"))
+            if fault in ("", "truncated"):
+                more = 3 if fault else 0
+                for other, price, op in ((role, 0, "K"), ("user", 3, "R"), ("assistant", 3, "R")):
+                    if grown(said, other):
+                        better(new, (other[:1], (*said[1], f"{other}:{text}")),
+                               (cost + price + more, audit + op))
+        table = prune(new)
+    whole = {s: v for s, v in insertions(table).items() if s[0] in ("", "a")}
+    (_, texts), (cost, audit) = min(whole.items(), key=lambda x: x[1])
+    return cost, audit, "\n".join(texts)
+
+
+def expected(rows, damage=damage):
+    found = {}
+    for row in rows:
+        found.setdefault(row[0], [])
+    for row in damage(rows):
+        found[row[0]].append(row)
+    out = {}
+    for conv, own in found.items():
+        lines = marked(own)
+        turns = {r[1] for r in own} - {None}
+        cost, audit, text = cheapest(lines)
+        faults = [f for _, _, f in lines]
+        pairs = [a[0][:1] + b[0][:1] for a, b in itertools.pairwise(lines)]
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+                     *[faults.count(f) for f in ("blank", "duplicate", "truncated")],
+                     sum(p not in ("su", "ua", "au") for p in pairs), cost, audit,
+                     hashlib.sha256(text.encode()).hexdigest())
+    return out
+
+
+def result(df):
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    return {r.conv_id: tuple(r[n] for n in names) for r in df.collect()}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_query_is_brute_force(spark, sf):
+    sf_dir = f"/root/testdata/sf{sf}"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text").collect()
+    assert result(op12_repair(spark, sf_dir)) == expected([tuple(r) for r in rows])
+
+
+def test_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    assert differences(op12_repair(spark, sf_dir), connect(sf_dir), repair.SQL) == []
+
+
+def sequences(codes):
+    """Cost and audit of every sequence of edits with up to four insertions, by trying all."""
+    def go(i, state, cost, audit, left):
+        if i == len(codes) and state in repair.WHOLE:
+            yield cost, audit
+        if left:
+            yield from go(i, repair._NEXT[state], cost + 3, audit + "I", left - 1)
+        for place, before, behind, price, op, rows in edits:
+            if rows and place == i and before == state:
+                yield from go(i + 1, behind, cost + price, audit + op, left)
+    edits = list(repair._edits(codes))
+    return go(0, repair.START, 0, "", 4)
+
+
+def test_agenda_finds_the_least_of_all_sequences():
+    for length in range(4):
+        for codes in map("".join, itertools.product(repair._CODES, repeat=length)):
+            if length < 3 or hash_of(codes) % 20 == 0:
+                assert repair.lightest_repair(codes) == min(sequences(codes)), codes
+
+
+def hash_of(codes):
+    return zlib.crc32(codes.encode())
+
+
+def test_blocks_put_together_give_the_whole():
+    rng = random.Random(1)
+    for _ in range(60):
+        codes = "".join(rng.choices(list(repair._CODES), k=rng.randrange(1, 60)))
+        cuts = sorted(rng.choices(range(len(codes) + 1), k=3))
+        pieces = [codes[a:b] for a, b in zip([0, *cuts], [*cuts, len(codes)], strict=True)]
+        edits = [(i, p, q, c, a, 1) for i, piece in enumerate(pieces) for (p, q), (c, a) in
+                 repair.lightest(repair._edits(piece), len(piece), list(repair._NEXT)).items()]
+        (found,) = repair.lightest(edits, 4, [repair.START], repair.WHOLE).values()
+        assert found == repair.lightest_repair(codes)
+
+
+def test_long_conversation_in_blocks(spark, monkeypatch):
+    """One conversation with most of the rows, cut into blocks and groups of blocks."""
+    monkeypatch.setattr(repair, "BLOCK", 4)
+    monkeypatch.setattr(repair, "GROUP", 3)
+    rng = random.Random(3)
+    rows = [(1, i // 2, rng.choice(["user", "assistant", "system", "tool", "user"]),
+             rng.choice(["Yes.", "no", "", f"Text {i}!", f"open {i}", " \n"])) for i in range(331)]
+    rows += [(c, t, rng.choice(["user", "assistant"]), f"{t}.") for c in range(2, 9)
+             for t in range(rng.randrange(1, 14))]
+    df = spark.createDataFrame(rows, LAYOUT).repartition(4)
+    assert result(repair.repaired(df)) == expected(rows, list)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (None, 0, "user", "Hi."), (None, None, "assistant", "Yes."), (2, None, None, None),
+        (3, 5, "", "x."), (3, 9, "User", "x."), (3, 9, "User", "x."), (4, 1, "system", "Be good."),
+        (5, 1, "system", "Be good."), (5, 2, "user", "a" * 400_000), (5, 3, "assistant", "b.\n\t "),
+        (6, 1, "user", "\xa0"), (6, 2, "assistant", "é?"), (7, 1, "user", "Same."),
+        (7, 1, "user", "Same."), (7, 2, "user", "Same."), (8, -3, "assistant", "A."),
+        (8, 4, "user", "U."),
+    ]
+    df = spark.createDataFrame(rows, LAYOUT).withColumns(
+        {c: F.lit("clash") for c in ("key", "pos", "n", "fault", "code", "audit", "copy", "kind")})
+    plain = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
+    assert result(repair.repaired(df)) == expected(plain, list)
+    assert result(repair.repaired(repair.damaged(df), df)) == expected(rows)
+
+
+def test_nothing_left(spark):
+    gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    df = spark.createDataFrame([(gone, 0, "user", "Hi.")], LAYOUT)
+    empty = hashlib.sha256().hexdigest()
+    assert result(repair.repaired(repair.damaged(df), df)) == {
+        gone: (0, 0, 0, 0, 0, 0, "", empty)}
+
+
+def test_empty_table(spark):
+    assert repair.repaired(spark.createDataFrame([], LAYOUT)).collect() == []
