@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loadlens.llm.graph import components
 from loadlens.llm.words import U64, Words, slices
@@ -164,6 +165,18 @@ def _masked(members: DataFrame) -> DataFrame:
                        F.col("fp").bitwiseAND(F.bitwise_not(cleared)).alias("rest"))
 
 
+def _members(prints: DataFrame) -> DataFrame:
+    """(slot, held, low, fp, place) of all members of a list but its smallest, ``low``.
+
+    The index is shuffled once.  A list holds distinct fingerprints that share five bytes, so it
+    has 2 ** 24 members at most, and its sorted members pass by one at a time.
+    """
+    in_list = Window.partitionBy("slot", "held").orderBy("fp")
+    return postings(prints).select(
+        "slot", "held", "fp", F.first("fp").over(in_list).alias("low"),
+        F.row_number().over(in_list).alias("place")).filter("place > 1")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp``, enough to connect all within the radius.
 
@@ -171,21 +184,25 @@ def links(prints: DataFrame) -> DataFrame:
     then not all connected are compared further: short ones pair by pair, long ones by masks,
     whose number of rows grows with the members and not with their square.
     """
-    index = postings(prints)
-    lists = stored(index.groupBy("slot", "held").agg(
-        F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
-        .filter("low < high").drop("high"))
-    members = stored(index.join(lists, ["slot", "held"]))
-    found = stored(_verified(members.filter("fp > low").select(
+    members = stored(_members(prints))
+    found = stored(_verified(members.select(
         F.col("low").alias("a"), F.col("fp").alias("b")).distinct()))
-    # A list of two is done; so is one whose members are in one component.
     label = components(found)
-    named = members.filter("n > 2").join(label, F.col("fp") == F.col("node"), "left").select(
-        "slot", "held", "fp", "n", F.coalesce("component", "fp").alias("component"))
-    several = named.groupBy("slot", "held").agg(
-        F.min("component").alias("lowest"), F.max("component").alias("highest")).filter(
-        "lowest < highest").select("slot", "held")
-    open_lists = stored(named.join(several, ["slot", "held"]))
+    own = label.select(F.col("node").alias("fp"), F.col("component").alias("own"))
+    head = label.select(F.col("node").alias("low"), F.col("component").alias("head"))
+    named = stored(members.join(own, "fp", "left").join(head, "low", "left").select(
+        "slot", "held", "fp", "low", "place", F.coalesce("own", "fp").alias("component"),
+        F.coalesce("head", "low").alias("lowest")))
+    # A list of two is done; so is one whose members are in one component.
+    unfinished = named.groupBy("slot", "held").agg(
+        F.max("place").alias("n"), F.max(F.col("component") != F.col("lowest")).alias("several"),
+        F.first("low").alias("low"), F.first("lowest").alias("lowest")).filter("several and n > 2")
+    unfinished = stored(unfinished.drop("several"))
+    open_lists = stored(
+        named.join(unfinished.select("slot", "held", "n"), ["slot", "held"]).select(
+            "slot", "held", "n", "fp", "component").unionByName(unfinished.select(
+                "slot", "held", "n", F.col("low").alias("fp"),
+                F.col("lowest").alias("component"))))
     short = open_lists.filter(F.col("n") <= _FEW)
     others = short.select("slot", "held", F.col("fp").alias("b"),
                           F.col("component").alias("other"))
