@@ -21,27 +21,31 @@ def _rounded(df):
 
 
 def load_samples_file(spark, sf):
-    """Files of two layouts, one with another order of columns, with ragged rows in both."""
+    """Files of two layouts, one with another order of columns, with ragged rows beside them.
+
+    Messages of failed requests hold quotes, commas and line breaks.
+    """
     folder = new_folder(spark)
-    samples = t.load_samples(spark, sf).drop("ord")
+    samples = t.load_samples(spark, sf).drop("ord").withColumn("responseMessage", F.when(
+        F.col("responseCode") != "200", F.concat("responseMessage", F.lit(', "again"\n\nlater')))
+        .otherwise(F.col("responseMessage")))
+    paths = []
     for run, names in ((0, samples.columns), (1, samples.columns[::-1] + ["host"]),
                        (2, samples.columns)):
         names = [n for n in names if n != "run_id"]
-        cells = [F.coalesce(F.col(n).cast("string") if n != "host" else F.lit("h, 1"), F.lit(""))
-                 for n in names]
-        quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-                  for c in cells]
-        lines = samples.filter(F.col("run_id") == run).select(
-            F.concat_ws(",", *quoted).alias("value"))
+        cells = samples.filter(F.col("run_id") == run).select(*[
+            F.lit("h, 1").alias(n) if n == "host" else
+            F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names])
+        cells.write.csv(f"{folder}/run{run}", header=True, escape='"', quoteAll=True)
         # A row too long is dropped; one too short has no number to count.
-        ragged = lines.limit(5).select(F.explode(F.array(
-            F.concat("value", F.lit(",surplus")), F.lit("1,2"))).alias("value"))
-        part = f"{folder}/run{run}"
-        rows = lines.unionByName(ragged).select(F.lit(1).alias("after"), "value")
+        ragged = cells.limit(5).select(F.explode(F.array(
+            F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(n, F.lit('"'), F.lit('""')),
+                                        F.lit('"')) for n in names], F.lit("surplus")),
+            F.lit("1,2"))).alias("value")).select(F.lit(1).alias("after"), "value")
         head = spark.range(1).select(F.lit(0).alias("after"), F.lit(",".join(names)).alias("value"))
-        head.unionByName(rows).coalesce(1).sortWithinPartitions("after").select(
-            "value").write.text(part)
-    paths = [f"{folder}/run{run}" for run in range(3)]
+        head.unionByName(ragged).coalesce(1).sortWithinPartitions("after").select(
+            "value").write.text(f"{folder}/ragged{run}")
+        paths += [f"{folder}/run{run}", f"{folder}/ragged{run}"]
     return _rounded(capacity.user_bins(capacity.prepare_samples(
         readers.read_load_samples(spark, paths))))
 

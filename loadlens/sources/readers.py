@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import csv
 import logging
-from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,54 +13,11 @@ from pyspark.sql import types as T
 from loadlens import schemas
 from loadlens.functions.text import strip
 from loadlens.functions.columns import require_columns
+from loadlens.sources.records import read_csv
 
 log = logging.getLogger(__name__)
 
 
-# Files whose first line is looked up at a time.
-_LOOKUPS = 8
-
-
-def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files of a folder by their header; empty files are left out.
-
-    Files are listed without being read, then the first line of each is fetched.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
-    files = sorted(r.path for r in spark.read.format("binaryFile").load(paths).filter(
-        "length > 0").select("path").collect())
-
-    def header(file: str) -> tuple[str, ...]:
-        first = spark.read.text(file).head()
-        return tuple(next(csv.reader([first.value]), ())) if first else ()
-
-    with ThreadPool(_LOOKUPS) as pool:
-        found = pool.map(header, files)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, names in zip(files, found, strict=True):
-        if names:
-            groups.setdefault(names, []).append(file)
-    return groups
-
-
-def _by_header(
-    spark: SparkSession, path: str | Sequence[str],
-    read: Callable[[list[str], list[str]], DataFrame],
-) -> DataFrame:
-    """One scan for each header found, put together by column name.
-
-    ``read`` gets the column names and the files that have them.  Columns a file lacks are
-    missing in its rows.
-    """
-    frames = [read(list(names), files) for names, files in _headers(spark, path).items()]
-    if not frames:
-        raise ValueError(f"no rows in {path}")
-    whole = frames[0]
-    for more in frames[1:]:
-        whole = whole.unionByName(more, allowMissingColumns=True)
-    return whole
-
-
 def with_file_order(df: DataFrame) -> DataFrame:
     """Add ``ord``, which sorts rows as they stand in their files.
 
@@ -94,14 +49,13 @@ def drop_surplus(rows: DataFrame) -> DataFrame:
     return rows.filter("_corrupt is not null and _extra is null").drop("_extra", "_corrupt")
 
 
-def read_load_samples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_load_samples(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Load-tool samples, all columns as text, without rows that have surplus fields.
 
-    Quoted fields may hold line breaks, which keeps a file in one task: write the
-    result to Parquet once and analyse that.
+    Quoted fields may hold line breaks; a file is read by as many tasks as it has byte ranges.
     """
-    return _by_header(spark, path, lambda names, files: drop_surplus(spark.read.csv(
-        files, schema=ragged_layout(names), multiLine=multi_line, **RAGGED)))
+    return drop_surplus(read_csv(
+        spark, path, ragged_layout, columnNameOfCorruptRecord=RAGGED["columnNameOfCorruptRecord"]))
 
 
 def read_host_metrics(
@@ -113,8 +67,7 @@ def read_host_metrics(
     A ``required`` column that no file has is an error, or with ``strict`` off a warning; a
     ``wanted`` one is a warning.  A report on one host requires ``schemas.HOST_REQUIRED``.
     """
-    df = _by_header(spark, path, lambda names, files: with_file_order(spark.read.csv(
-        files, schema=schemas.layout(names, schemas.host_column_type), header=True)))
+    df = read_csv(spark, path, lambda names: schemas.layout(names, schemas.host_column_type))
     require_columns(df, required, strict)
     require_columns(df, wanted, strict=False)
     return df
@@ -123,9 +76,8 @@ def read_host_metrics(
 def read_emissions(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Emissions with ISO timestamps, read as local time of ``zone``; sort at output only."""
     known = {column for column, _, _ in schemas.EMISSION_METRICS}
-    df = _by_header(spark, path, lambda names, files: with_file_order(spark.read.csv(
-        files, header=True, schema=schemas.layout(
-            names, lambda n: T.DoubleType() if n in known else T.StringType()))))
+    df = read_csv(spark, path, lambda names: schemas.layout(
+        names, lambda n: T.DoubleType() if n in known else T.StringType()))
     require_columns(df, ["timestamp"])
     return df.withColumn("timestamp", F.to_utc_timestamp(F.to_timestamp("timestamp"), zone))
 
@@ -139,9 +91,8 @@ def read_user_bins(spark: SparkSession, paths: Sequence[str], strict: bool = Fal
     runs = []
     for run_id, path in enumerate(paths):
         try:
-            df = _by_header(spark, path, lambda names, files: with_file_order(spark.read.csv(
-                files, header=True, schema=schemas.layout(
-                    names, lambda n: schemas.USER_BINS.get(n, T.StringType())))))
+            df = read_csv(spark, path, lambda names: schemas.layout(
+                names, lambda n: schemas.USER_BINS.get(n, T.StringType())))
             require_columns(df, ["bin_start_timestamp"])
         except (AnalysisException, ValueError) as error:
             if strict:
@@ -215,17 +166,14 @@ def keep_answered(spans: DataFrame) -> DataFrame:
     )
 
 
-def read_spans(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_spans(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Trace spans as text with ``question`` and ``generated_answer`` added.
 
-    Values may hold line breaks, which keeps a file in one task: write the result
-    to Parquet once and evaluate that.
+    Values may hold line breaks; a file is read by as many tasks as it has byte ranges.
     """
-    return keep_answered(_by_header(spark, path, lambda names, files: with_file_order(
-        spark.read.csv(
-            files, schema=schemas.layout(names, lambda _: T.StringType()), header=True,
-            multiLine=multi_line, escape='"', ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False))))
+    return keep_answered(read_csv(
+        spark, path, lambda names: schemas.layout(names, lambda _: T.StringType()),
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"))
 
 
 def read_chat(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
