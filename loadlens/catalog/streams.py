@@ -19,15 +19,22 @@ def stream_host_metrics(spark, sf):
         c: F.round(c, 6) for c in ("cpu_cores_sum_avg", "memory_percent_avg")})
 
 
+# Files a run of events is written as; so many make a batch.
+_FILES = 4
+# Partitions of the state; there are a few dozen bins.
+_STATE = 4
+
+
 def _by_run(spark, sf, start):
-    """Events arrive run by run; the query is started anew for each and goes on where it was."""
+    """Events arrive run by run, each run a batch of one query."""
     source, folder = new_folder(spark), new_folder(spark)
     events = t.table(spark, sf, "events")
-    child = live.streaming_session(spark)
     for run in range(3):
-        events.filter(t.run_of(F.col("ts").cast("timestamp")) == run).write.mode("append").parquet(
-            f"{source}/events.parquet")
-        start(t.clean_samples(child, source, stream=True), folder).awaitTermination()
+        events.filter(t.run_of(F.col("ts").cast("timestamp")) == run).repartition(
+            _FILES).write.mode("append").parquet(f"{source}/events.parquet")
+    child = live.streaming_session(spark, _STATE)
+    query = start(t.clean_samples(child, source, stream=True, per_batch=_FILES), folder)
+    query.awaitTermination()
     return folder
 
 
@@ -40,8 +47,7 @@ def stream_user_bins(spark, sf):
 def stream_saturation(spark, sf):
     folder = _by_run(spark, sf, lambda samples, out: live.run_saturation_alerts(
         samples, out, threshold=25.0))
-    return live.latest_batch(spark, f"{folder}/alerts").withColumn(
-        "error_rate", F.round("error_rate", 6))
+    return live.raised_alerts(spark, folder).withColumn("error_rate", F.round("error_rate", 6))
 
 
 def stream_dedup(spark, sf):

@@ -18,8 +18,9 @@ from loadlens.sources.store import stored
 _LAYOUTS: dict[str, StructType] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """One test table, as a stream if asked; times are UTC.
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False,
+          per_batch: int | None = None) -> DataFrame:
+    """One test table, as a stream if asked, of ``per_batch`` files at a time; times are UTC.
 
     The layout is read from the file footer once per process.
     """
@@ -30,12 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) ->
     if not stream:
         return spark.read.schema(_LAYOUTS[path]).parquet(path)
     # A streaming source takes a pattern, not a file; this one matches that file alone.
-    return spark.readStream.schema(_LAYOUTS[path]).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(_LAYOUTS[path])
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, stream: bool = False,
+            per_batch: int | None = None) -> DataFrame:
     return (
-        table(spark, sf_dir, "events", stream)
+        table(spark, sf_dir, "events", stream, per_batch)
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withColumn("k", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("long"))
     )
@@ -54,11 +59,12 @@ ev AS (
   FROM events)"""
 
 
-def load_samples(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+def load_samples(spark: SparkSession, sf_dir: str, stream: bool = False,
+                 per_batch: int | None = None) -> DataFrame:
     """Raw load samples under the load tool's column names."""
     failed = F.col("event_type") == "error"
     hundredths = F.floor(F.col("value") * 100 + 0.5)
-    return _events(spark, sf_dir, stream).select(
+    return _events(spark, sf_dir, stream, per_batch).select(
         F.col("event_id").alias("ord"),
         run_of(F.col("ts")).alias("run_id"),
         F.unix_millis("ts").alias("timeStamp"),
@@ -92,8 +98,9 @@ clean AS (
   FROM raw WHERE label = 'HTTP Request')"""
 
 
-def clean_samples(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    return capacity.prepare_samples(load_samples(spark, sf_dir, stream))
+def clean_samples(spark: SparkSession, sf_dir: str, stream: bool = False,
+                  per_batch: int | None = None) -> DataFrame:
+    return capacity.prepare_samples(load_samples(spark, sf_dir, stream, per_batch))
 
 
 STATS_SQL = SAMPLES_SQL + """,

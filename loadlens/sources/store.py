@@ -25,12 +25,16 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path as its functions take it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        target = hadoop.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        fs, target = hadoop_path(spark, path)
+        fs.delete(target, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -57,44 +57,109 @@ def test_bins_over_batches_equal_batch_bins(spark, sample_folder, tmp_path):
     assert got.round(9).equals(want.round(9))
 
 
-def test_alert_once_per_bin(spark, sample_folder, tmp_path):
-    out = str(tmp_path / "out")
-    live.run_saturation_alerts(
-        one_file_per_batch(spark, sample_folder, NAMES), out, threshold=28.0).awaitTermination()
-    alerts = live.latest_batch(spark, f"{out}/alerts").toPandas()
-    assert sorted(p.name for p in (tmp_path / "out" / "alerts").iterdir()) == ["slot=0", "slot=1"]
-    assert alerts["user_bin"].is_unique and len(alerts)
-    assert alerts["error_rate"].gt(28.0).all()
-    # Running totals after each file tell which bins were ever above the threshold.
-    frame = samples(spark, sample_folder, False).withColumn(
+def arriving(folder):
+    """Files arrive in the order of their names, a second apart."""
+    for part in range(4):
+        os.utime(folder / f"{part}.csv", (1_700_000_000 + part,) * 2)
+
+
+def running(spark, folder):
+    """(files so far, bin, requests, failures, rate) after each file."""
+    frame = samples(spark, folder, False).withColumn(
         "part", ((F.unix_millis("timestamp") - 1_700_000_000_000) / 12_500).cast("int")).toPandas()
-    ever = set()
-    for last in sorted(frame["part"].unique()):
+    for last in range(4):
         seen = frame[frame["part"] <= last]
-        rate = 100 * (~seen["success"]).groupby(seen["allthreads"] // 10 * 10).mean()
-        ever |= set(rate[rate > 28.0].index)
-    assert set(alerts["user_bin"]) == ever
+        for user_bin, rows in seen.groupby(seen["allthreads"] // 10 * 10):
+            bad = int((~rows["success"]).sum())
+            yield last, user_bin, len(rows), bad, 100.0 * bad / len(rows)
 
 
-def test_alerts_of_earlier_batches_stay(spark, sample_folder, tmp_path):
-    """Files a second apart arrive in the order of their names; the rates fall from file to file."""
-    for part in range(4):
-        os.utime(sample_folder / f"{part}.csv", (1_700_000_000 + part,) * 2)
-    out, held = str(tmp_path / "out"), []
+def first_alerts(spark, folder, threshold):
+    held = {}
+    for _, user_bin, n, bad, rate in running(spark, folder):
+        if rate > threshold and user_bin not in held:
+            held[user_bin] = (n, bad, rate)
+    return held
+
+
+def alerts_in(spark, out):
+    found = [(r.user_bin, (r.total_requests, r.failed_requests, r.error_rate))
+             for r in live.raised_alerts(spark, out).collect()]
+    assert len(found) == len(dict(found))
+    return dict(found)
+
+
+def test_alerts_of_four_batches_in_one_query(spark, sample_folder, tmp_path):
+    arriving(sample_folder)
+    out = str(tmp_path / "out")
     query = live.run_saturation_alerts(
         one_file_per_batch(spark, sample_folder, NAMES), out, threshold=28.0)
     query.awaitTermination()
     assert [p.numInputRows > 0 for p in query.recentProgress].count(True) == 4
-    alerts = {r.user_bin: r for r in live.latest_batch(spark, f"{out}/alerts").collect()}
-    frame = samples(spark, sample_folder, False).withColumn(
-        "part", ((F.unix_millis("timestamp") - 1_700_000_000_000) / 12_500).cast("int")).toPandas()
-    for last in range(4):
-        seen = frame[frame["part"] <= last]
-        for user_bin, rows in seen.groupby(seen["allthreads"] // 10 * 10):
-            if user_bin not in [b for b, _ in held] and 100 * (~rows["success"]).mean() > 28:
-                held.append((user_bin, len(rows)))
-    assert {b: r.total_requests for b, r in alerts.items()} == dict(held)
-    assert any(n < 20 for _, n in held)
+    want = first_alerts(spark, sample_folder, 28.0)
+    assert alerts_in(spark, out) == want and any(n < 20 for n, _, _ in want.values())
+
+
+def test_alerts_after_a_restart_between_batches(spark, sample_folder, tmp_path):
+    arriving(sample_folder)
+    out, late = str(tmp_path / "out"), tmp_path / "late"
+    late.mkdir()
+    for part in (2, 3):
+        (sample_folder / f"{part}.csv").rename(late / f"{part}.csv")
+
+    def run():
+        query = live.run_saturation_alerts(
+            one_file_per_batch(spark, sample_folder, NAMES), out, threshold=28.0)
+        query.awaitTermination()
+        return [p.numInputRows > 0 for p in query.recentProgress].count(True)
+
+    assert run() == 2
+    early = alerts_in(spark, out)
+    for part in (2, 3):
+        (late / f"{part}.csv").rename(sample_folder / f"{part}.csv")
+    assert run() == 2 and run() == 0
+    want = first_alerts(spark, sample_folder, 28.0)
+    assert early and early.items() <= want.items() and alerts_in(spark, out) == want
+
+
+def test_no_alert_is_an_empty_table(spark, sample_folder, tmp_path):
+    out = str(tmp_path / "out")
+    live.run_saturation_alerts(
+        samples(spark, sample_folder, True), out, threshold=100.0).awaitTermination()
+    assert alerts_in(spark, out) == {}
+
+
+def test_bins_hand_on_only_what_changed(spark, sample_folder, tmp_path, monkeypatch):
+    """A batch with samples of one bin hands on that bin; the others keep their rows."""
+    arriving(sample_folder)
+    for part in (1, 2, 3):
+        path = sample_folder / f"{part}.csv"
+        path.write_text("".join(line for line in path.read_text().splitlines(True)
+                                if line.startswith("timeS") or ",HTTP Request," in line
+                                and 10 <= int(line.split(",")[4]) < 20 and line.count(",") == 5))
+    handed, start = [], live._start
+
+    def noting(df, mode, folder, write, once):
+        def store(changed, batch_id):
+            handed.append(sorted(r.user_bin for r in changed.collect()))
+            write(changed, batch_id)
+        return start(df, mode, folder, store, once)
+
+    monkeypatch.setattr(live, "_start", noting)
+    out = str(tmp_path / "out")
+    live.run_user_bins(one_file_per_batch(spark, sample_folder, NAMES), out).awaitTermination()
+    assert handed == [[0, 10, 20, 30], [10], [10], [10]]
+    got = live.latest_batch(spark, f"{out}/bins").orderBy("user_bin").toPandas()
+    want = capacity.bin_stats(capacity.thread_stats(samples(spark, sample_folder, False)))
+    want = want.orderBy("user_bin").toPandas()[list(got.columns)]
+    assert got.round(9).equals(want.round(9))
+
+
+def test_settings_come_back_after_the_start(spark, sample_folder, tmp_path):
+    before = {k: spark.conf.get(k, None) for k in live._STATE_STORE}
+    live.run_saturation_alerts(
+        samples(spark, sample_folder, True), str(tmp_path / "out")).awaitTermination()
+    assert {k: spark.conf.get(k, None) for k in live._STATE_STORE} == before
 
 
 def test_live_bins_update_mode(spark, sample_folder, tmp_path):
