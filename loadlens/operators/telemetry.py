@@ -13,6 +13,7 @@ from loadlens import schemas
 from loadlens.functions.numbers import epoch_ms_to_timestamp
 from loadlens.plans.nearest import first_at_or_after
 from loadlens.plans.position import with_position
+from loadlens.sources.store import stored
 
 # Fixed value: per-core columns of a host.
 _CORE = re.compile(r"cpu_.*_percent")
@@ -172,41 +173,41 @@ def telemetry_summary(df: DataFrame, ts: str = "datetime") -> DataFrame:
 def sample_ticks(df: DataFrame, order_by: Sequence[str], k: int = 8) -> DataFrame:
     """Up to ``k`` evenly spaced rows with their ``position``.
 
-    Rows are counted by value of the first order column and, of these counts, by prefix of a
-    day; the ``k`` values that hold a wanted row are found from the running counts and only
-    their rows are read again and ranked.  A missing value comes first.
+    Selection by refinement: rows are counted by value of the first order column, and the counts
+    by range of values; only ranges that hold a wanted position are looked into, which gives the
+    ``k`` values at most whose rows are read again and given their positions.  A hot value is one
+    count, and its rows are range-partitioned by the other columns.  A missing value comes first.
     """
-    first = order_by[0]
-    slice_ = F.col(first)
-    if isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType)):
-        slice_ = F.date_trunc("minute", first)
-    counts = df.groupBy(slice_.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    first, *others = order_by
+    counts = stored(df.groupBy(F.col(first).alias("at")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     steps = min(k, total) - 1
     wanted = sorted({i * (total - 1) // max(steps, 1) for i in range(steps + 1)})
-    kept = None
-    for at, before, places in _holding(counts, wanted):
-        rank = F.row_number().over(Window.orderBy(*order_by)) - 1 + F.lit(before)
-        rows = df.filter(slice_.eqNullSafe(F.lit(at))).withColumn("position", rank.cast("long"))
-        rows = rows.filter(F.col("position").isin(places))
-        kept = rows if kept is None else kept.unionByName(rows)
-    return df.limit(0).withColumn("position", F.lit(0).cast("long")) if kept is None else kept
-
-
-def _holding(counts: DataFrame, wanted: Sequence[int]) -> list[tuple]:
-    """(value, rows before it, wanted positions in it) of the values that hold wanted rows."""
-    coarse = F.col("at")
-    if isinstance(counts.schema["at"].dataType, (T.TimestampType, T.TimestampNTZType)):
-        coarse = F.date_trunc("day", "at")
-    days = counts.groupBy(coarse.alias("day")).agg(F.sum("n").alias("n"))
-    running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    begun = days.withColumn("day_before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    inside = Window.partitionBy("day").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("day_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    placed = counts.withColumn("day", coarse).join(
-        begun.withColumnRenamed("day", "d").drop("n"), F.col("day").eqNullSafe(F.col("d")))
-    held = F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (
-        w >= F.col("before")) & (w < F.col("before") + F.col("n")))
-    rows = placed.withColumn("before", before).select("at", "before", held.alias("held")).filter(
-        "size(held) > 0").collect() if wanted else []  # as many rows as wanted positions at most
-    return [(r["at"], r["before"], r["held"]) for r in rows]
+    if not wanted:
+        return df.limit(0).withColumn("position", F.lit(0).cast("long"))
+    # As many values as wanted positions at most.
+    held = stored(_holding(counts, wanted))
+    rows = df.join(F.broadcast(held), F.col(first).eqNullSafe(F.col("_at"))).withColumn(
+        "_tie", F.monotonically_increasing_id())
+    placed = with_position(rows, [*others, "_tie"], group=["_before"], total="_total")
+    return placed.withColumn("position", F.col("position") + F.col("_before")).filter(
+        F.array_contains("_places", F.col("position"))).select(*df.columns, "position")
+
+
+def _holding(counts: DataFrame, wanted: Sequence[int]) -> DataFrame:
+    """The values that hold wanted rows, with the rows before them and the positions in them."""
+    ranges = stored(counts.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    sums = ranges.groupBy("part").agg(F.sum("n").alias("sum"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.withColumn("begin", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+
+    def inside(begin: str, size: str) -> Column:
+        return F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (
+            w >= F.col(begin)) & (w < F.col(begin) + F.col(size)))
+
+    holding = begun.filter(F.size(inside("begin", "sum")) > 0).select("part", "begin")
+    smaller = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("begin") + F.coalesce(F.sum("n").over(smaller), F.lit(0))
+    return ranges.join(holding, "part").withColumn("_before", before).select(
+        F.col("at").alias("_at"), "_before", inside("_before", "n").alias("_places")).filter(
+        "size(_places) > 0")

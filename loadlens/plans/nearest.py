@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions.numbers import micros
+from loadlens.sources.store import stored
 
 _SECOND = 1_000_000
 
@@ -95,26 +99,52 @@ def nearest_match(
     )
 
 
+def _next_ticks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Times of a range, latest first, with ticks before points: each point with its next tick.
+
+    The last row has the range's earliest tick and no point.
+    """
+    part = earliest = None
+    schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("next", pa.int64())])
+    for batch in batches:
+        times, kinds = (batch.column(c).to_pylist() for c in ("us", "is_tick"))
+        part = batch.column("part")[0].as_py() if batch.num_rows else part
+        found, ticks = [], []
+        for us, is_tick in zip(times, kinds, strict=True):
+            if is_tick:
+                earliest = us
+            else:
+                found.append(us)
+                ticks.append(earliest)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(found), pa.int32()), pa.array(found, pa.int64()),
+             pa.array(ticks, pa.int64())], schema=schema)
+    if earliest is not None:
+        yield pa.RecordBatch.from_pylist([{"part": part, "at": None, "next": earliest}], schema)
+
+
 def first_at_or_after(
     points: DataFrame, ticks: DataFrame, point_ts: str, tick_ts: str, name: str,
-    at_once: int = 256,
 ) -> DataFrame:
     """Add the first tick time at or after each point, missing where there is none.
 
-    Points are run starts, one row a run: their times go to the driver, and the ticks are read
-    once for each ``at_once`` of them, as one minimum a point that combines map-side.
+    A merge in ranges of time: distinct times of points and ticks are range-partitioned, and each
+    task goes through its range once.  A point after the last tick of its range takes the first
+    tick of the next range that has one; these are one row for each range.  The ticks are read
+    once, whatever the number of points, and no time passes the driver.
     """
-    spark = points.sparkSession
     timed = points.withColumn("_us", micros(point_ts))
-    times = sorted(r[0] for r in timed.select("_us").distinct().collect() if r[0] is not None)
-    clock = ticks.select(micros(tick_ts).alias("us"))
-    found = []
-    for begin in range(0, len(times), at_once):
-        part = times[begin:begin + at_once]
-        row = clock.agg(*[
-            F.min(F.when(F.col("us") >= t, F.col("us"))).alias(f"m{i}")
-            for i, t in enumerate(part)]).first()
-        found += zip(part, row, strict=True)
-    firsts = spark.createDataFrame(found, "_at long, _first long")
-    return timed.join(firsts, timed["_us"] == firsts["_at"], "left").withColumn(
-        name, F.timestamp_micros("_first")).drop("_us", "_at", "_first")
+    times = timed.select(F.col("_us").alias("us"), F.lit(False).alias("is_tick")).unionByName(
+        ticks.select(micros(tick_ts).alias("us"), F.lit(True).alias("is_tick"))).filter(
+        "us is not null").distinct()
+    found = stored(times.repartitionByRange("us").sortWithinPartitions(
+        F.desc("us"), F.desc("is_tick")).withColumn("part", F.spark_partition_id()).mapInArrow(
+        _next_ticks, "part int, at long, next long"))
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    ranges = found.groupBy("part").agg(
+        F.min(F.when(F.col("at").isNull(), F.col("next"))).alias("first"))
+    carried = stored(ranges.select("part", F.min("first").over(later).alias("carried")))
+    nexts = found.filter("at is not null").join(carried, "part").select(
+        F.col("at").alias("_at"), F.coalesce("next", "carried").alias("_next"))
+    return timed.join(nexts, timed["_us"] == nexts["_at"], "left").withColumn(
+        name, F.timestamp_micros("_next")).drop("_us", "_at", "_next")

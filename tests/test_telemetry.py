@@ -156,3 +156,59 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("time,emissions\n1,2\n")
     with pytest.raises(ValueError):
         read_emissions(spark, str(tmp_path / "bad.csv"))
+
+
+def ticks_of(frame, order_by, k):
+    """Positions and row numbers of evenly spaced rows; ties in all of ``order_by`` may swap."""
+    ranked = frame.sort_values(order_by, na_position="first", kind="stable").reset_index(drop=True)
+    steps = min(k, len(ranked)) - 1
+    places = sorted({i * (len(ranked) - 1) // max(steps, 1) for i in range(steps + 1)})
+    return [(p, *ranked.loc[p, order_by]) for p in places]
+
+
+@pytest.mark.parametrize("order_by", [["ts", "ord"], ["name", "ord"], ["ts"], ["name", "v", "ord"]])
+def test_ticks_with_a_hot_value(spark, order_by):
+    """A third of the rows share one timestamp and one name; some have none."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(900):
+        hot = i % 3 == 0
+        sec = 500 if hot else int(rng.integers(0, 1000))
+        rows.append((i, None if i % 50 == 1 else at(sec), "hot" if hot else f"n{i % 37:02}",
+                     float(i % 5)))
+    df = spark.createDataFrame(rows, "ord int, ts timestamp, name string, v double").repartition(6)
+    frame = pd.DataFrame(rows, columns=["ord", "ts", "name", "v"])
+    got = telemetry.sample_ticks(df, order_by, 11)
+    assert got.columns == ["ord", "ts", "name", "v", "position"]
+    found = sorted((r["position"], *[r[c] for c in order_by]) for r in got.collect())
+    want = ticks_of(frame, order_by, 11)
+    assert found == [tuple(None if v is pd.NaT else v for v in x) for x in want]
+
+
+def test_ticks_of_equal_rows(spark):
+    df = spark.range(100).select(F.lit(1).alias("x"))
+    got = telemetry.sample_ticks(df, ["x"], 4).orderBy("position").collect()
+    assert [(r.x, r.position) for r in got] == [(1, 0), (1, 33), (1, 66), (1, 99)]
+
+
+def test_snap_over_ranges(spark):
+    """Starts before, between, on and after ticks; empty ranges; many starts and one hot tick."""
+    rng = np.random.default_rng(8)
+    seconds = [int(s) for s in rng.integers(0, 100_000, 400)] + [50_000] * 300
+    starts = [(i, at(int(s))) for i, s in enumerate(rng.integers(-500, 101_000, 700))]
+    starts += [(1000, at(50_000)), (1001, None), (1002, at(min(seconds))), (1003, at(-9_999))]
+    metrics = spark.createDataFrame([(at(s),) for s in seconds] + [(None,)], "datetime timestamp")
+    df = spark.createDataFrame(starts, "run_id int, run_start timestamp")
+    got = {r.run_id: r.marker for r in telemetry.snap_run_starts(df, metrics.repartition(5)).collect()}
+    ordered = sorted(set(seconds))
+
+    def marker(start):
+        later = [at(s) for s in ordered if start is not None and at(s) >= start]
+        return later[0] if later else start
+    assert got == {i: marker(s) for i, s in starts}
+
+
+def test_snap_without_ticks(spark):
+    df = spark.createDataFrame([(1, at(5))], "run_id int, run_start timestamp")
+    none = spark.createDataFrame([], "datetime timestamp")
+    assert telemetry.snap_run_starts(df, none).collect() == [(1, at(5), at(5))]
