@@ -18,3 +18,14 @@ def require_columns(df: DataFrame, cols: Sequence[str], strict: bool = True) ->
     if missing:
         log.warning("missing columns: %s", ", ".join(missing))
     return missing
+
+
+def unused(columns: Sequence[str], *wanted: str) -> list[str]:
+    """``wanted`` names with as many underscores behind as keep them apart from ``columns``."""
+    taken, names = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
