@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loadlens.functions.columns import unused
 from loadlens.sources.store import stored
 
 SHINGLE = 5
@@ -171,7 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
           radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that hold an item."""
+    own, text_hash = unused(docs.columns, "_id", "_hash")
     found = matches(docs.select("doc_id", "text"), benchmark, percent, radius).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+        F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(own))
+                     & (F.xxhash64("text") == F.col(text_hash)), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.functions.columns import unused
 from loadlens.sources.store import stored
 
 DEPTH = 3         # leading tokens in the path of a leaf, after the token count
@@ -113,12 +114,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, likeness: fl
     added = ["n_lines", "n_dropped", "n_chars_dropped"]
     docs = docs.drop(*added)
     _, followed = templates(docs.select("doc_id", "text"), min_docs, likeness, families)
-    dropped = followed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.array_sort(F.collect_set("line_no")).alias("_lines"))
-    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64("text") == F.col("_hash")), "left")
+    own, text_hash, numbers = unused(docs.columns, "_id", "_hash", "_lines")
+    dropped = followed.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).agg(
+        F.array_sort(F.collect_set("line_no")).alias(numbers))
+    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(own))
+                       & (F.xxhash64("text") == F.col(text_hash)), "left")
     lines = _lines("text")
-    gone = F.coalesce("_lines", F.array().cast("array<int>"))
+    gone = F.coalesce(numbers, F.array().cast("array<int>"))
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
     lost = F.coalesce(F.length("text") - F.length(left), F.lit(0))
     use = F.size(gone) > 0

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loadlens.functions.columns import unused
 from loadlens.llm.graph import components
 from loadlens.llm.words import U64, Words, constants, mix, slices
+from loadlens.schemas import quoted
 from loadlens.sources.store import stored
 
 HALVES = 8   # collections on either side; HALVES * HALVES tables
@@ -51,17 +53,24 @@ def _signer(k: int):
         at = pa.array(np.where(sizes > 0, 2 * HALVES, 0).cumsum(), pa.int32())
         at = pa.concat_arrays([pa.array([0], pa.int32()), at])
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sizes), pa.array(whole.view(np.int64)),
+            [part.column("doc_id"), part.column("text_hash"), pa.array(sizes),
+             pa.array(whole.view(np.int64)),
              pa.ListArray.from_arrays(at, pa.array(halves[full].ravel().view(np.int64)))],
-            ["doc_id", "n_shingles", "set_hash", "halves"])
+            ["doc_id", "text_hash", "n_shingles", "set_hash", "halves"])
 
     return sign
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set) and the half keys of both collections."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _signer(k), "doc_id long, n_shingles long, set_hash long, halves array<long>")
+    """doc_id, text_hash, n_shingles, set_hash (of the whole set) and half keys of each row."""
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash()).mapInArrow(
+        _signer(k), "doc_id long, text_hash long, n_shingles long, set_hash long, "
+        "halves array<long>")
+
+
+def text_hash() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64("text").alias("text_hash")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -134,9 +143,14 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame
         F.col("set_hash").alias("id"), F.col("n_shingles").alias("n"), "halves"))
     buckets = stored(_buckets(reps))
     members = buckets.select("id").distinct()
-    texts = (signed.join(members, F.col("set_hash") == F.col("id"), "left_semi")
-             .groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")))
-    sets = stored(shingle_sets(docs.join(texts, "doc_id").dropDuplicates(["set_hash"]), k))
+    # A row is found by doc_id and text, as a doc_id may have several texts.
+    named = signed.join(members, F.col("set_hash") == F.col("id"), "left_semi").groupBy(
+        "set_hash", F.col("text_hash").alias("own")).agg(F.min("doc_id").alias("name"))
+    texts = named.groupBy("set_hash").agg(F.min(F.struct("own", "name")).alias("row")).select(
+        "set_hash", "row.own", "row.name")
+    sets = stored(shingle_sets(docs.select("doc_id", "text", text_hash()).join(
+        texts, (F.col("text_hash") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("name")))
+        .select("set_hash", "text").dropDuplicates(["set_hash"]), k))
     first = buckets.filter("id > low").join(
         buckets.filter("id = low").select("key", F.col("n").alias("na")), "key")
     close = 100 * F.least("na", "n") >= percent * F.greatest("na", "n")
@@ -177,6 +191,16 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame
     return found
 
 
+def _roots(docs: DataFrame, filled: DataFrame, k: int, percent: int) -> DataFrame:
+    """(set_hash, first, root) of the sets of ``filled`` that have copies or links."""
+    label = components(links(docs, filled, k, percent))
+    classes = filled.groupBy("set_hash").agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    return stored(classes.join(label, F.col("set_hash") == label.node, "left").filter(
+        "node is not null or rows > 1").select(
+        "set_hash", "first", F.coalesce("component", "set_hash").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: classes of documents with similar shingle sets.
 
@@ -192,13 +216,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, k))
     filled = signed.filter("doc_id is not null and n_shingles > 0")
-    label = components(links(docs, filled, k, percent))
     # The first document of a class of equal sets, then of the component of such classes.
-    classes = filled.groupBy("set_hash").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    classes = stored(classes.join(label, F.col("set_hash") == label.node, "left").filter(
-        "node is not null or first < last").select(
-        "set_hash", "first", F.coalesce("component", "set_hash").alias("root")))
+    classes = _roots(docs, filled, k, percent)
     firsts = classes.groupBy("root").agg(F.min("first").alias("first"))
     named = classes.select("set_hash", "root").join(firsts, "root").select(
         F.col("set_hash").alias("node"), "first")
@@ -208,3 +227,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component = F.coalesce("first", "doc_id")
     return own.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each class of near copies, and all rows like no other.
+
+    The row with the smallest doc_id stays; rows without doc_id come last, rows of one doc_id
+    are taken by the hash of all their columns, and of equal rows one stays.  A null, empty or
+    blank text is like no other.  All columns are kept, whatever their names; very long texts
+    are compared whole, and an empty table stays empty.
+    """
+    own, root, none, name, row, best_row = unused(
+        docs.columns, "own", "root", "none", "name", "row", "best")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = stored(signatures(texts, k))
+    filled = signed.filter("n_shingles > 0")
+    classes = _roots(texts, filled, k, percent).select("set_hash", "root")
+    # One row for each text that is in a class, so a text with many copies is one row.
+    members = stored(signed.select("text_hash", "set_hash").distinct().join(
+        classes, "set_hash").select(F.col("text_hash").alias(own), F.col("root").alias(root)))
+    marked = docs.withColumn(row, F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]))
+    narrow = marked.select(F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias(
+        none), F.col("doc_id").cast("long").alias(name), row)
+    best = narrow.join(members, F.col("text_hash") == F.col(own)).groupBy(root).agg(
+        F.min(F.struct(none, name, row)).alias(best_row))
+    best = stored(members.join(best, root))
+    met = marked.join(best, F.xxhash64("text") == F.col(own), "left")
+    stays = F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").cast("long").alias(name),
+                     F.col(row))
+    alone = met.filter(F.col(root).isNull())
+    first = met.filter(stays.eqNullSafe(F.col(best_row))).dropDuplicates([root])
+    columns = [quoted(c) for c in docs.columns]
+    return alone.select(*columns).unionByName(first.select(*columns))

@@ -9,6 +9,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,15 +24,17 @@ TEXT_TYPE = "text/plain"
 RECORD = "headers array<struct<name: string, value: string>>, block binary"
 _END = "\r\n\r\n"
 
+# What stands in a head has no text of its own but for these, so a head without an end hides
+# nothing else.  No pattern looks at a tag without an end twice.
 _HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)",
-    re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template)\b[^>]*+"
+    r"(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]"
-    r"|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
+    r"|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"</?[a-z!?][^>]*(?:>|\Z)", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<(a|img|link|script)\b[^>]*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)",
+_TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.I)
+_LINK = re.compile(r"<(a|img|link|script)\b[^<>]*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)",
                    re.I)
 _BLANK = re.compile(r"[ \t\f\v\r\xa0]+")
 
@@ -69,6 +72,57 @@ def _split(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return status, [[p.strip() for p in line.partition(":")[::2]] for line in lines], body
 
 
+def _field(headers: list[list[str]], name: str) -> str:
+    return next((v for n, v in headers if n.lower() == name), "").lower()
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The data of a chunked body; from the first chunk that is none, the rest as it stands."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"\s*([0-9a-fA-F]{1,15})\s*(?:;.*)?", body[at:end] if end > 0 else b"")
+        if not size:
+            return b"".join([*out, body[at:]])
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2:end + 2 + n])
+        at = end + 2 + n + 2
+        if at >= len(body):
+            return b"".join(out)
+
+
+def _inflated(body: bytes, kind: int) -> bytes:
+    """Members of compressed data, up to the first byte that is not; as it stands if that is all."""
+    out, rest = [], body
+    while rest:
+        state = zlib.decompressobj(kind)
+        try:
+            out += [state.decompress(rest), state.flush()]
+        except zlib.error:
+            break
+        rest = state.unused_data
+    return b"".join(out) if any(out) else body
+
+
+def _payload(headers: list[list[str]], body: bytes) -> bytes:
+    """The body without its transfer coding and its compression."""
+    if "chunked" in _field(headers, "transfer-encoding"):
+        body = _unchunked(body)
+    coding = _field(headers, "content-encoding")
+    if "gzip" in coding:
+        return _inflated(body, 31)
+    return _inflated(body, 15) if coding == "deflate" else body
+
+
+def _is_text(headers: list[list[str]]) -> bool:
+    """Whether a response without type, or with this one, is text."""
+    kind = _field(headers, "content-type").partition(";")[0].strip()
+    return not kind or kind.startswith("text/") or kind.endswith(("+xml", "+json")) or kind in (
+        "application/xml", "application/json", "application/javascript")
+
+
 def _charset(headers: list[list[str]]) -> str:
     kind = next((v for n, v in headers if n.lower() == "content-type"), "")
     found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
@@ -119,7 +173,8 @@ def _derived(headers: list[dict], block: bytes | None) -> Iterator[tuple[list[di
     block = block or b""
     source = _header(headers, "WARC-Record-ID")
     status, fields, body = _split(block)
-    page = body.decode(_charset(fields), "replace")
+    is_text = _is_text(fields)
+    page = _payload(fields, body).decode(_charset(fields), "replace") if is_text else ""
     title = _TITLE.search(page)
     meta = {
         "warc": [[h["name"], h["value"]] for h in headers or ()],
@@ -129,9 +184,11 @@ def _derived(headers: list[dict], block: bytes | None) -> Iterator[tuple[list[di
                  "links": [[m[1].lower(), html.unescape(m[2].strip("\"'"))]
                            for m in _LINK.finditer(page)]},
     }
-    for kind, media, data in (
-            ("metadata", METADATA_TYPE, json.dumps(meta, ensure_ascii=False).encode()),
-            ("conversion", TEXT_TYPE, plain_text(page).encode("utf-8", "replace"))):
+    made = [("metadata", METADATA_TYPE, json.dumps(meta, ensure_ascii=False).encode(
+        "utf-8", "replace"))]
+    if is_text:
+        made.append(("conversion", TEXT_TYPE, plain_text(page).encode("utf-8", "replace")))
+    for kind, media, data in made:
         known = [("WARC-Type", kind),
                  ("WARC-Record-ID", record_id(kind.encode(), source and source.encode(), block)),
                  ("WARC-Date", _header(headers, "WARC-Date")),
@@ -147,11 +204,15 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Both refer to the response by its id and keep its date and target.  The metadata record
     holds the response's WARC headers (digests included), its status and HTTP headers, and the
-    page's title and links; the conversion record holds the plain text.  Records of other types
-    give none.  A block without HTTP header counts as body; a null block is empty; a header that
-    the response lacks is left out.  Other columns are passed on.
+    page's title and links; the conversion record holds the plain text, and there is one for text
+    types only.  Chunked and compressed bodies are decoded for it; digests are those of the body
+    as it was sent.  Records of other types give none.  A block without HTTP header counts as body; a null block is empty; a header that
+    the response lacks is left out.  Other columns are passed on, whatever their names.  Very long
+    pages are gone through once by each pattern, repeated records give equal derivatives, and an
+    empty table has no rows.
     """
     keep = [c for c in records.columns if c not in ("headers", "block")]
+    passed = [f"passed{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +226,16 @@ def derivatives(records: DataFrame) -> DataFrame:
                         headers.append(head)
                         blocks.append(data)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in keep),
+                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in passed),
                  pa.array(headers, _HEADERS), pa.array(blocks, pa.binary())],
-                [*keep, "headers", "block"])
-
-    fields = [f"`{c}` {records.schema[c].dataType.simpleString()}" for c in keep]
-    return records.select(*keep, "headers", "block").mapInArrow(run, ", ".join([*fields, RECORD]))
+                [*passed, "headers", "block"])
+
+    # Python functions take no column whose name has dots.
+    fields = [f"{p} {records.schema[c].dataType.simpleString()}"
+              for p, c in zip(passed, keep, strict=True)]
+    given = [F.col(f"`{c}`").alias(p) for p, c in zip(passed, keep, strict=True)]
+    return records.select(*given, "headers", "block").mapInArrow(
+        run, ", ".join([*fields, RECORD])).toDF(*keep, "headers", "block")
 
 
 def header(name: str):

@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadlens.llm import minhash
 from loadlens.llm.queries import op1_minhash
@@ -75,3 +76,29 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(df).collect() == []
+
+
+def test_texts_of_one_doc_id(spark):
+    """Each text of a repeated doc_id is linked by its own words."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "x y")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, 2).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_one_row_of_each_class(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (None, a, "x"), (None, a, "x"), (5, a + " more", "x"),
+            (None, "only one", "x"), (None, "only one", "x"), (6, None, "x"), (6, None, "x"), (7, "", "x"),
+            (8, "same row", "y"), (8, "same row", "y"), (8, "same row", "z")]
+    names = "doc_id long, text string, root string"
+    df = spark.createDataFrame(rows, names).withColumns(
+        {c: F.lit(7) for c in ("own", "name", "row", "best", "_gone", "set_hash", "text_hash")})
+    got = minhash.representatives(df.repartition(3), 2)
+    assert got.columns == df.columns
+    kept = sorted((tuple(r)[:2] for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (None, "only one"), (6, None), (6, None), (7, ""),
+                           (8, "same row")], key=str)
+    assert minhash.representatives(df.limit(0)).collect() == []

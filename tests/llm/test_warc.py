@@ -1,8 +1,11 @@
 """Derivatives of web archive records: linkage, digests, text, and the round trip of files."""
 
 import base64
+import gzip
 import hashlib
 import json
+import time
+import zlib
 
 from loadlens.llm import warc
 
@@ -82,3 +85,53 @@ def test_odd_records(spark):
     assert found["b"][1] == ("conversion", b"")
     assert found["f"][1] == ("conversion", "é".encode())
     assert warc.derivatives(df.limit(0)).collect() == []
+
+
+def conversion(head, body):
+    made = {h[0]["value"]: data for h, data in warc._derived(
+        [{"name": "WARC-Type", "value": "response"}], b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)}
+    return json.loads(made["metadata"]), made.get("conversion")
+
+
+def test_head_without_an_end():
+    page = "<html><head><title>T</title><meta x=1><body><p>All of the text</p></body></html>"
+    assert warc.plain_text(page) == "All of the text"
+    assert warc.plain_text("<head><title>T</title>text<p>more") == "text\nmore"
+
+
+def test_coded_bodies():
+    page = "<title>T</title><p>Grüße</p>".encode()
+    chunks = b"".join(b"%x;a=b\r\n%s\r\n" % (len(page[i:i + 7]), page[i:i + 7])
+                      for i in range(0, len(page), 7)) + b"0\r\n\r\n"
+    zipped = gzip.compress(page)
+    both = b"%x\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped)
+    for head, body in ((b"Content-Encoding: gzip", zipped), (b"Transfer-Encoding: chunked", chunks),
+                       (b"content-encoding: deflate", zlib.compress(page)),
+                       (b"Transfer-Encoding: chunked\r\nContent-Encoding: x-gzip", both)):
+        meta, text = conversion(head, body)
+        assert text.decode() == "Grüße" and meta["html"]["title"] == "T"
+        assert meta["http"]["body_digest"] == sha(body)
+    assert conversion(b"Content-Encoding: gzip", b"plain after all")[1] == b"plain after all"
+    assert conversion(b"Transfer-Encoding: chunked", b"zz\r\nplain")[1] == b"zz\nplain"
+    assert conversion(b"Transfer-Encoding: chunked", b"5\r\nshort")[1] == b"short"
+
+
+def test_conversions_of_text_only():
+    meta, text = conversion(b"Content-Type: image/png", b"\x89PNG<p>")
+    assert text is None and meta["html"] == {"title": None, "links": []}
+    assert conversion(b"Content-Type: application/xhtml+xml; charset=utf-8", b"<p>x")[1] == b"x"
+
+
+def test_long_hostile_pages():
+    """Tags, comments and quotes without an end are gone through once."""
+    for part in ("<a ", "<script ", "<p ", "<title ", "<!-- ", "<title>", '<a href="', "<img src='", "<"):
+        started = time.perf_counter()
+        conversion(b"Content-Type: text/html", (part * 60_000).encode())
+        assert time.perf_counter() - started < 5, part
+
+
+def test_clashing_columns_pass(spark):
+    df = spark.createDataFrame(
+        [([("WARC-Type", "response")], b"<p>x", "a", 1)],
+        f"{warc.RECORD.split(', block')[0]}, block binary, kind string, `data.x` int")
+    assert [(r.kind, r["data.x"]) for r in warc.derivatives(df).collect()] == [("a", 1)] * 2
