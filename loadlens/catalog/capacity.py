@@ -180,6 +180,36 @@ def report_over_time(spark, sf):
     return _rounded(df, "mean_elapsed", "median", "p90", "p95", "p99", "throughput_per_sec")
 
 
+_RANKS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def _ranks_hold(rolled, samples, keys):
+    """Whether the exact rank of each sketched percentile is within twice the stated error."""
+    found = report.sketched_percentiles(rolled, [*_RANKS.values()])
+    counted = samples.groupBy(*keys, F.col("elapsed").cast("long").alias("ms")).agg(
+        F.count(F.lit(1)).alias("n"))
+    error = 2 * report.rank_error()
+    checks = []
+    for name, rank in _RANKS.items():
+        below = F.sum(F.when(F.col("ms") < F.col(name), F.col("n")).otherwise(0)) / F.sum("n")
+        up_to = F.sum(F.when(F.col("ms") <= F.col(name), F.col("n")).otherwise(0)) / F.sum("n")
+        checks.append(((below <= rank + error) & (up_to >= rank - error)).alias(f"{name}_holds"))
+    return counted.join(found, keys).groupBy(*keys, "samples", "failures").agg(*checks)
+
+
+def report_rolled_up(spark, sf):
+    """Minute sketches rolled up to hours, and the hours to runs."""
+    samples = t.clean_samples(spark, sf)
+    minutes = report.elapsed_sketches(samples, by=["run_id"])
+    hours = report.roll_up(minutes, "1 hour", ["run_id"])
+    runs = report.roll_up(hours, by=["run_id"])
+    by_hour = _ranks_hold(hours, samples.withColumn(
+        "window_start", F.date_trunc("hour", "timestamp")), ["run_id", "window_start"])
+    by_run = _ranks_hold(runs, samples, ["run_id"]).withColumn(
+        "window_start", F.lit(None).cast("timestamp"))
+    return by_hour.unionByName(by_run)
+
+
 def codes_over_time(spark, sf):
     return _rounded(report.codes_over_time(t.clean_samples(spark, sf)), "per_sec")
 
@@ -255,6 +285,14 @@ SELECT date_trunc('hour', timestamp)::TIMESTAMP AS window_start, count(*) AS sam
        count(*) FILTER (WHERE NOT success) AS failures, max(allthreads) AS active_users,
        round(count(*) / 3600.0::DOUBLE, 6) AS throughput_per_sec, {_ELAPSED_SQL}
 FROM clean GROUP BY ALL"""),
+    "report_rolled_up": Query(report_rolled_up, f"""WITH {t.SAMPLES_SQL}
+SELECT run_id, date_trunc('hour', timestamp)::TIMESTAMP AS window_start, count(*) AS samples,
+       count(*) FILTER (WHERE NOT success) AS failures,
+       true AS p50_holds, true AS p90_holds, true AS p99_holds
+FROM clean GROUP BY ALL
+UNION ALL
+SELECT run_id, NULL, count(*), count(*) FILTER (WHERE NOT success), true, true, true
+FROM clean GROUP BY run_id"""),
     "codes_over_time": Query(codes_over_time, f"""WITH {t.SAMPLES_SQL}
 SELECT date_trunc('minute', timestamp)::TIMESTAMP AS window_start, responsecode,
        count(*) AS responses, round(count(*) / 60.0::DOUBLE, 6) AS per_sec

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loadlens import schemas
 from loadlens.catalog import Query
 from loadlens.catalog import tables as t
+from loadlens.functions.columns import require_columns
 from loadlens.operators import telemetry
 
 _ORDER = ["datetime", "ord"]
@@ -96,7 +97,33 @@ def sample_ticks(spark, sf):
     return telemetry.sample_ticks(host, _ORDER).drop("datetime")
 
 
+def required_columns(spark, sf):
+    """Values by wanted column, and what the strict check says of those the table lacks."""
+    host = t.host_metrics(spark, sf)
+    wanted = [*schemas.HOST_REQUIRED, "battery_percent", "fan_rpm"]
+    missing = require_columns(host, wanted, strict=False)
+    try:
+        require_columns(host, wanted)
+        said = None
+    except ValueError as error:
+        said = str(error)
+    found = [c for c in wanted if c not in missing]
+    counts = host.agg(*[F.count(c).alias(c) for c in found]).unpivot(
+        [], found, "column", "n_values").withColumn("error", F.lit(None).cast("string"))
+    lacking = host.agg(F.count(F.lit(1)).alias("_rows")).select(
+        F.explode(F.array(*[F.lit(m) for m in missing])).alias("column"),
+        F.lit(0).cast("long").alias("n_values"), F.lit(said).alias("error"))
+    return counts.unionByName(lacking)
+
+
 QUERIES = {
+    "required_columns": Query(required_columns, f"""WITH {t.HOST_SQL}
+SELECT 'timestamp' AS "column", count(timestamp) AS n_values, CAST(NULL AS VARCHAR) AS error FROM host
+UNION ALL SELECT 'memory_percent', count(memory_percent), NULL FROM host
+UNION ALL SELECT 'gpu_0_util_percent', count(gpu_0_util_percent), NULL FROM host
+UNION ALL SELECT 'gpu_0_mem_used_mb', count(gpu_0_mem_used_mb), NULL FROM host
+UNION ALL SELECT c, 0, 'missing columns: battery_percent, fan_rpm'
+FROM (VALUES ('battery_percent'), ('fan_rpm')) v(c)"""),
     "with_time": Query(with_time, f"""WITH {t.HOST_SQL}
 SELECT ord, timestamp, datetime, strftime(datetime, '%H:%M:%S') AS time_str FROM host"""),
     "cpu_cores_sum": Query(cpu_cores_sum, f"WITH {t.HOST_SQL} SELECT ord, cpu_cores_sum FROM host"),

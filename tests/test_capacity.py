@@ -1,3 +1,4 @@
+import bisect
 import csv
 from datetime import datetime
 
@@ -137,3 +138,22 @@ def test_report_total_and_percentiles(samples):
 def test_sum_of_requests_is_sample_count(samples):
     total = capacity.thread_stats(samples).agg(F.sum("total_requests")).head()[0]
     assert total == samples.count()
+
+
+def test_sketches_roll_up_within_the_rank_error(spark):
+    """Slices of very different sizes, put together twice; one slice has most of the rows."""
+    rows = spark.range(200_000).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.when(
+            F.col("id") % 3 == 0, F.lit(60)).otherwise(F.col("id") % 20_000)).alias("timestamp"),
+        F.pow(F.rand(5) * 40, F.lit(2.5)).alias("elapsed"), (F.col("id") % 7 > 0).alias("success"))
+    minutes = report.elapsed_sketches(rows)
+    hours = report.roll_up(minutes, "1 hour")
+    whole = report.roll_up(hours)
+    assert minutes.count() > 300 and 5 <= hours.count() <= 7
+    got = report.sketched_percentiles(whole, (0.01, 0.5, 0.9, 0.999)).head()
+    assert (got.samples, got.failures) == (200_000, 200_000 - 171_428)
+    exact = sorted(int(r.elapsed) for r in rows.select("elapsed").collect())
+    for rank, value in ((0.01, got.p1), (0.5, got.p50), (0.9, got.p90), (0.999, got.p99_9)):
+        low, high = (f(exact, value) / len(exact) for f in (bisect.bisect_left, bisect.bisect_right))
+        assert low - 2 * report.rank_error() <= rank <= high + 2 * report.rank_error()
+    assert max(len(r.elapsed_sketch) for r in whole.collect()) < 20_000
