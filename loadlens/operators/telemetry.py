@@ -179,14 +179,15 @@ def sample_ticks(df: DataFrame, order_by: Sequence[str], k: int = 8) -> DataFram
     count, and its rows are range-partitioned by the other columns.  A missing value comes first.
     """
     first, *others = order_by
-    counts = stored(df.groupBy(F.col(first).alias("at")).agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = df.groupBy(F.col(first).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = stored(counts.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    total = ranges.agg(F.sum("n")).first()[0] or 0
     steps = min(k, total) - 1
     wanted = sorted({i * (total - 1) // max(steps, 1) for i in range(steps + 1)})
     if not wanted:
         return df.limit(0).withColumn("position", F.lit(0).cast("long"))
     # As many values as wanted positions at most.
-    held = stored(_holding(counts, wanted))
+    held = stored(_holding(ranges, wanted))
     rows = df.join(F.broadcast(held), F.col(first).eqNullSafe(F.col("_at"))).withColumn(
         "_tie", F.monotonically_increasing_id())
     placed = with_position(rows, [*others, "_tie"], group=["_before"], total="_total")
@@ -194,9 +195,11 @@ def sample_ticks(df: DataFrame, order_by: Sequence[str], k: int = 8) -> DataFram
         F.array_contains("_places", F.col("position"))).select(*df.columns, "position")
 
 
-def _holding(counts: DataFrame, wanted: Sequence[int]) -> DataFrame:
-    """The values that hold wanted rows, with the rows before them and the positions in them."""
-    ranges = stored(counts.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+def _holding(ranges: DataFrame, wanted: Sequence[int]) -> DataFrame:
+    """The values that hold wanted rows, with the rows before them and the positions in them.
+
+    ``ranges`` has the count ``n`` of each value ``at`` and the number ``part`` of its range.
+    """
     sums = ranges.groupBy("part").agg(F.sum("n").alias("sum"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begun = sums.withColumn("begin", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))

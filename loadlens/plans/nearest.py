@@ -143,7 +143,7 @@ def first_at_or_after(
     later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
     ranges = found.groupBy("part").agg(
         F.min(F.when(F.col("at").isNull(), F.col("next"))).alias("first"))
-    carried = stored(ranges.select("part", F.min("first").over(later).alias("carried")))
+    carried = ranges.select("part", F.min("first").over(later).alias("carried"))
     nexts = found.filter("at is not null").join(carried, "part").select(
         F.col("at").alias("_at"), F.coalesce("next", "carried").alias("_next"))
     return timed.join(nexts, timed["_us"] == nexts["_at"], "left").withColumn(
