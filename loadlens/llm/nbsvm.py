@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loadlens.llm.words import U64, Words, constants, mix, slices
 from loadlens.sources.store import stored
 
 BITS = 18           # feature buckets: 2 ** BITS
-MAX_ROWS = 10_000   # labels learned from, at most
+MAX_ROWS = 10_000   # labels learned from, at most, and labelled rows
+MAX_FEATURES = 1 << 26   # features of all rows learned from, at most
 _LAST = np.uint64(64 - BITS)
 
 
@@ -74,21 +76,20 @@ def _features(texts: pa.Array) -> list[np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        for part in slices(batch):
-            for y, ids in zip(part.column("y").to_pylist(), _features(part.column("text")),
-                              strict=True):
-                found[y, ids] += 1
+        y, ids = batch.column("y"), batch.column("ids")
+        of = np.repeat(np.asarray(y), np.asarray(ids.value_lengths()))
+        np.add.at(found, (of, np.asarray(ids.flatten())), 1)
     ids = np.flatnonzero(found.any(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(ids), pa.array(found[0, ids]), pa.array(found[1, ids])], ["id", "c0", "c1"])
 
 
-def log_count_ratios(labelled: DataFrame, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratios(bags: DataFrame, alpha: float = 1.0) -> np.ndarray:
     """Log ratio of a feature's share among rows of class 1 to that among rows of class 0.
 
-    Counted over ``labelled`` (text, y); at most 2 ** BITS sums reach the driver.
+    Counted over ``bags`` (y, ids); at most 2 ** BITS sums reach the driver.
     """
-    sums = (labelled.mapInArrow(_counts, "id long, c0 long, c1 long")
+    sums = (bags.select("y", "ids").mapInArrow(_counts, "id long, c0 long, c1 long")
             .groupBy("id").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow())
     counts = np.full((2, 1 << BITS), alpha)
     for y in (0, 1):
@@ -102,9 +103,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = [i.astype(np.int32) for i in _features(part.column("text"))]
             at = np.cumsum([0, *map(len, ids)])
             yield pa.RecordBatch.from_arrays(
-                [part.column("h"), part.column("y"), pa.ListArray.from_arrays(
+                [part.column("h"), part.column("y"), part.column("t"), pa.ListArray.from_arrays(
                     pa.array(at, pa.int32()), pa.array(np.concatenate(ids)))],
-                ["h", "y", "ids"])
+                ["h", "y", "t", "ids"])
 
 
 def _descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float,
@@ -148,24 +149,50 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3) / spread, float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cost: float = 1.0,
-        epochs: int = 20) -> Model:
-    """Fit on ``docs`` (key, text) with ``labels`` (key, y); labels other than 0 and 1 are left out.
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """h, y, t, text: rows of ``docs`` (key, text) with their label, ``max_rows`` at most.
 
-    The ``max_rows`` labels with the smallest hash of key are used, a documented bound: a linear
-    model gains little beyond it, and so few labels are sent to the texts instead of the texts
-    to them.  Features are taken where the texts are; one task fits the machine, on four fifths
-    of the rows, and the curve of the score on the other fifth.  With no rows the score is 0.5,
-    with rows of one class only that class's smoothed share.
+    First the ``max_rows`` labels with the smallest hash of key are taken, then, if keys repeat,
+    as many rows with the smallest hash of key, label and text.  Equal rows count once.  Both
+    choices combine in each task before one row is sent, so a key of very many rows is no
+    harder than others; only hashes are sorted, no texts.
     """
     sample = labels.filter("key is not null and y in (0, 1)").select(
         "key", F.col("y").cast("int").alias("y")).orderBy(
         F.xxhash64("key", "y"), "key", "y").limit(max_rows)
-    # At most max_rows rows.
-    labelled = docs.select("key", "text").join(F.broadcast(stored(sample)), "key").select(
-        "text", "y", F.xxhash64("key").alias("h"))
-    scale = log_count_ratios(labelled.select("text", "y"))
-    bags = labelled.mapInArrow(_bags, "h long, y int, ids array<int>").repartition(1)
+    # At most max_rows rows, here and below.
+    joined = docs.select("key", "text").join(F.broadcast(stored(sample.distinct())), "key").select(
+        F.xxhash64("key").alias("h"), "y", F.xxhash64("text").alias("t"), "text")
+    chosen = joined.select("h", "y", "t").distinct().orderBy(
+        F.xxhash64("h", "y", "t"), "h", "y", "t").limit(max_rows)
+    return joined.join(F.broadcast(stored(chosen)), ["h", "y", "t"]).dropDuplicates(
+        ["h", "y", "t"])
+
+
+def _bounded(bags: DataFrame, max_features: int) -> DataFrame:
+    """Rows of ``bags`` in the order of their hashes, as long as their features fit the bound."""
+    order = Window.orderBy("h", "y", "t").rowsBetween(Window.unboundedPreceding, 0)
+    # One row of numbers for each of at most max_rows rows.
+    fitting = bags.select("h", "y", "t", F.sum(F.size("ids").cast("long")).over(order).alias(
+        "total")).filter(F.col("total") <= max_features).drop("total")
+    return bags.join(F.broadcast(fitting), ["h", "y", "t"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cost: float = 1.0,
+        epochs: int = 20, max_features: int = MAX_FEATURES) -> Model:
+    """Fit on ``docs`` (key, text) with ``labels`` (key, y); labels other than 0 and 1 are left out.
+
+    The sample is bounded, as documented: ``max_rows`` rows (see ``labelled_rows``) with
+    ``max_features`` features in all; a linear model gains little beyond.  So few labels are sent
+    to the texts instead of the texts to them.  Features are taken where the texts are; one task
+    fits the machine, on four fifths of the rows, and the curve of the score on the other fifth.
+    With no rows the score is 0.5, with rows of one class only that class's smoothed share.
+    """
+    labelled = labelled_rows(docs, labels, max_rows)
+    bags = stored(labelled.mapInArrow(_bags, "h long, y int, t long, ids array<int>"))
+    bags = _bounded(bags, max_features)
+    scale = log_count_ratios(bags)
+    bags = bags.repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y, h = [], [], []
@@ -175,10 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cost: floa
             at = at - at[0]
             rows += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             y += batch.column("y").to_pylist()
-            h += batch.column("h").to_pylist()
+            h += zip(batch.column("h").to_pylist(), batch.column("t").to_pylist(), strict=True)
         if not rows:
             return
-        order = sorted(range(len(rows)), key=lambda i: (h[i], y[i], len(rows[i])))
+        order = sorted(range(len(rows)), key=lambda i: (h[i], y[i]))
         rows, y = [rows[i] for i in order], np.array([2.0 * y[i] - 1 for i in order])
         if len(set(y.tolist())) < 2:
             share = ((y > 0).sum() + 1) / (len(y) + 2)
@@ -237,7 +264,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 
     Documents whose crc32(doc_id) mod 5 is 0 are held out: their labels are not learned from.
     A document with several labels counts once for each; one without doc_id cannot be labelled
-    and is scored only.
+    and is scored only.  Very long texts are read whole.  Empty tables give an empty result, or,
+    without labels, a score of 0.5; further columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = remainder(F.col("doc_id"), 5) == 0

@@ -122,3 +122,19 @@ def test_quality_of_one_class(spark, labels):
     assert [round(r.score, 9) for r in rows] == [round(share, 9)] * 2
     assert nbsvm.quality(docs.limit(0), spark.createDataFrame(
         labels, "doc_id long, quality int")).collect() == []
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.range(3000).selectExpr(
+        "if(id < 2000, 7, id) key", "concat('text ', id % 1500, ' of ', id) text").unionByName(
+        spark.createDataFrame([(7, "copy")] * 50 + [(7, None)] * 2, "key long, text string"))
+    labels = spark.range(3000).selectExpr("id key", "cast(id % 2 as int) y").unionByName(
+        spark.createDataFrame([(7, 0), (7, 1), (7, 1)], "key long, y int"))
+    every = nbsvm.labelled_rows(docs, labels, 10_000)
+    assert every.count() == every.distinct().count() == 2 * 2002 + 1000
+    few = nbsvm.labelled_rows(docs.repartition(7), labels, 100).collect()
+    assert len(few) <= 100
+    assert sorted(few) == sorted(nbsvm.labelled_rows(docs, labels, 100).collect())
+    bags = every.mapInArrow(nbsvm._bags, "h long, y int, t long, ids array<int>")
+    kept = nbsvm._bounded(bags, 5000).selectExpr("sum(size(ids))").first()[0]
+    assert 4900 < kept <= 5000
