@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,10 @@ ORDERS = (1, 2, 3)  # characters in an n-gram; words are closed by a mark on eit
 SWITCH = 8.0        # nats a change of language costs
 UNKNOWN = "und"
 MAX_LANGUAGES = 256
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Combining marks: accents, vowel signs, points.  A word is letters with the marks on them.
+_MARKS = "".join(c for c in map(chr, [*range(0x300, 0x20000), *range(0xE0100, 0xE01F0)])
+                 if unicodedata.category(c)[0] == "M")
+_LETTERS = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 
 # First code point of a script, and its name.
 SCRIPTS = [
@@ -198,10 +202,11 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH,
 
     ``keep`` names the columns to return besides (all if not given); columns with the names of
     the new ones are replaced.  Spans are maximal runs of words (start, words, lang) of one
-    language on the best path; words are runs of letters.  lang_pred is the language of most
-    letters, the first in text order on a tie, and score its share of the letters.  A text that
-    is null or has no letter, or any text when nothing was learned, is ``und`` with score 0 and
-    no spans.
+    language on the best path; words are runs of letters with the combining marks on them.
+    lang_pred is the language of most letters (marks count too), the first in text order on a
+    tie, and score its share of the letters.  A text that is null or has no letter, or any text
+    when nothing was learned, is ``und`` with score 0 and no spans.  Very long texts are read
+    whole; an empty table gives an empty result.
     """
     languages = [*model.languages]
     keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "spans")]

@@ -71,6 +71,14 @@ def test_odd_texts(spark, model):
     assert spans(spark, model, "漢字")[0] in model.languages
 
 
+def test_marks_belong_to_words(spark, model):
+    assert language._LETTERS.findall("हिन्दी में क\u0301") == ["हिन्दी", "में", "क\u0301"]
+    assert language._LETTERS.findall("cafe\u0301 \u0301 a1b_c") == ["cafe\u0301", "a", "b", "c"]
+    assert language._LETTERS.findall("İz".lower()) == ["i\u0307z"]
+    assert spans(spark, model, "\u0301 \u093f") == ("und", [])
+    assert spans(spark, model, "e" + "\u0301" * 100_000)[1] == [(0, 1, "en")]
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     [row] = language.identify(df).collect()
