@@ -23,7 +23,15 @@ MAX_LANGUAGES = 256
 # Combining marks: accents, vowel signs, points.  A word is letters with the marks on them.
 _MARKS = "".join(c for c in map(chr, [*range(0x300, 0x20000), *range(0xE0100, 0xE01F0)])
                  if unicodedata.category(c)[0] == "M")
-_LETTERS = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+_MARK = re.compile(f"[{_MARKS}]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MARKED = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+
+
+def _split(text: str) -> list[str]:
+    """Words of a text: letters with their marks; the plain pattern does where no mark occurs."""
+    marked = not text.isascii() and max(text) >= "\u0300" and _MARK.search(text)
+    return (_MARKED if marked else _LETTERS).findall(text)
 
 # First code point of a script, and its name.
 SCRIPTS = [
@@ -69,7 +77,7 @@ def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     memo = _Memo()
     ids, counts = [], [0]
     for text in texts.to_pylist():
-        words = _LETTERS.findall(text.lower()) if text else ()
+        words = _split(text.lower()) if text else ()
         ids.append(np.fromiter(map(memo.__getitem__, words), np.int32, len(words)))
         counts.append(len(words))
     return list(memo), np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum(counts)
