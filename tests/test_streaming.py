@@ -100,6 +100,25 @@ def test_alerts_of_four_batches_in_one_query(spark, sample_folder, tmp_path):
     assert alerts_in(spark, out) == want and any(n < 20 for n, _, _ in want.values())
 
 
+@pytest.fixture
+def small_arrow_batches(spark):
+    """A task gets its rows in several Arrow batches, as it does beyond 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_alerts_when_a_task_has_several_arrow_batches(
+        spark, sample_folder, tmp_path, small_arrow_batches):
+    arriving(sample_folder)
+    out = str(tmp_path / "out")
+    live.run_saturation_alerts(
+        one_file_per_batch(spark, sample_folder, NAMES), out, threshold=28.0).awaitTermination()
+    assert alerts_in(spark, out) == first_alerts(spark, sample_folder, 28.0) != {}
+
+
 def test_alerts_after_a_restart_between_batches(spark, sample_folder, tmp_path):
     arriving(sample_folder)
     out, late = str(tmp_path / "out"), tmp_path / "late"
