@@ -119,6 +119,16 @@ def test_alerts_when_a_task_has_several_arrow_batches(
     assert alerts_in(spark, out) == first_alerts(spark, sample_folder, 28.0) != {}
 
 
+def test_bins_when_a_task_has_several_arrow_batches(
+        spark, sample_folder, tmp_path, small_arrow_batches):
+    out = str(tmp_path / "out")
+    live.run_user_bins(one_file_per_batch(spark, sample_folder, NAMES), out).awaitTermination()
+    got = live.latest_batch(spark, f"{out}/bins").orderBy("user_bin").toPandas()
+    want = capacity.bin_stats(capacity.thread_stats(samples(spark, sample_folder, False)))
+    want = want.orderBy("user_bin").toPandas()[list(got.columns)]
+    assert got.round(9).equals(want.round(9))
+
+
 def test_alerts_after_a_restart_between_batches(spark, sample_folder, tmp_path):
     arriving(sample_folder)
     out, late = str(tmp_path / "out"), tmp_path / "late"
