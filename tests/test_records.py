@@ -104,6 +104,27 @@ def test_number_of_jobs_is_that_of_one_file(spark, tmp_path):
     assert got.count() == 60 and {"cpu_0_percent", "cpu_1_percent"} <= set(got.columns)
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_read_again_are_not_put_together_or_parsed_again(narrow, tmp_path):
+    write(tmp_path / "a.csv", random.Random(5), 50)
+    got = records.read_csv(narrow, str(tmp_path), texts)
+    again = plan(got.filter("y <> ''").groupBy("z").count())
+    assert "from_csv" not in again and "Join" not in again and len(rows(got)) == 50
+
+
+def test_records_of_several_headers_are_parsed_in_one_pass(narrow, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"a\nb"\n\n2,c\n')
+    (tmp_path / "b.csv").write_text('y,host,x\n"d,e",h,3\n')
+    (tmp_path / "c.csv").write_text('x,y\n4,"f ""g"""\n')
+    got = records.read_csv(narrow, str(tmp_path), texts)
+    assert "from_csv" not in plan(got) and "Join" not in plan(got)
+    assert rows(got.select("x", "y", "host")) == [
+        ("1", "a\nb", None), ("2", "c", None), ("3", "d,e", "h"), ("4", 'f "g"', None)]
+
+
 def test_load_samples_and_spans_in_many_tasks(spark, narrow, tmp_path):
     rng = random.Random(4)
     with open(tmp_path / "run.jtl", "w", newline="") as f:
