@@ -55,7 +55,8 @@ def read_load_samples(spark: SparkSession, path: str | Sequence[str]) -> DataFra
     Quoted fields may hold line breaks; a file is read by as many tasks as it has byte ranges.
     """
     return drop_surplus(read_csv(
-        spark, path, ragged_layout, columnNameOfCorruptRecord=RAGGED["columnNameOfCorruptRecord"]))
+        spark, path, ragged_layout,
+        columnNameOfCorruptRecord=RAGGED["columnNameOfCorruptRecord"])).drop("ord")
 
 
 def read_host_metrics(
