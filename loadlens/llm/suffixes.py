@@ -19,7 +19,7 @@ _SPAN = LENGTH - _GRAM + 1  # anchors in a string
 _PLACE = U64((1 << 24) - 1)
 _SLICE = 2 << 20
 _FLUSH = 1 << 20           # anchors or snippets a task holds before it hands them on
-GROUPS = 8                 # groups for each shuffle partition
+GROUP = 2 << 20            # bytes of text for each group
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,6 +260,11 @@ def _triples(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     return _dense(_dense(x * top + y) * top + z)
 
 
+def _below(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How many of ``keys`` are smaller than each of ``wanted``."""
+    return np.searchsorted(np.sort(keys), wanted)
+
+
 def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """``starts`` in the lexicographic order of the suffixes there, to ``depth`` bytes at least.
 
@@ -297,22 +302,12 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> n
     if not len(inside) or not len(outside):
         return np.concatenate([inside, outside])
 
-    def before(j: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Whether suffix j of the cover comes before suffix i outside it."""
-        one = j % 3 == 1
-        second = np.where(one, rank[j + 1], padded[j + 1])
-        other = np.where(one, rank[i + 1], padded[i + 1])
-        a, b = padded[j], padded[i]
-        tie = (second == other) & ~one & (rank[j + 2] < rank[i + 2])
-        return (a < b) | ((a == b) & ((second < other) | tie))
-
-    low, high = np.zeros(len(outside), np.int64), np.full(len(outside), len(inside))
-    for _ in range(int(len(inside)).bit_length()):
-        middle = (low + high) // 2
-        open_ = low < high
-        less = before(inside[np.minimum(middle, len(inside) - 1)], outside)
-        low = np.where(open_ & less, middle + 1, low)
-        high = np.where(open_ & ~less, middle, high)
+    # A suffix outside the cover comes behind as many of either class as have a smaller key.
+    top = int(rank.max()) + 1
+    one, two = inside[inside % 3 == 1], inside[inside % 3 == 2]
+    low = _below(padded[one] * top + rank[one + 1], padded[outside] * top + rank[outside + 1])
+    low += _below((padded[two] * 257 + padded[two + 1]) * top + rank[two + 2],
+                  (padded[outside] * 257 + padded[outside + 1]) * top + rank[outside + 2])
     return np.insert(inside, low, outside)
 
 
@@ -335,13 +330,12 @@ def _repeats(table: pa.Table) -> pa.Table:
     order = owner[suffix_order(text, places)]
     # Neighbours in the order that agree in a whole window belong together.
     sorted_places = places[order]
-    new = np.ones(len(order), bool)
-    step = 1 << 16
-    reach = np.arange(LENGTH)
-    for a in range(1, len(order), step):
-        b = min(a + step, len(order))
-        here = text[sorted_places[a - 1:b, None] + reach]
-        new[a:b] = (here[1:] != here[:-1]).any(axis=1)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    for by in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        here = eight[sorted_places + by]
+        new[1:] |= here[1:] != here[:-1]
     begin = np.flatnonzero(new)
     least = np.minimum.reduceat(docs[of[order]], begin)
     repeat = np.zeros(len(of), bool)
@@ -392,17 +386,19 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     Every string of 50 bytes has an anchor, the gram of 20 bytes with the smallest hash.  Equal
     strings have equal anchors, so a string can repeat only if two documents have its anchor, and
-    all its occurrences are in the group of that anchor.  Of each group the suffixes are sorted
-    by difference cover (``suffix_order``) and neighbours are compared byte by byte.
+    all its occurrences are in the group of that anchor.  There is a group for each GROUP bytes of
+    text, however many partitions a shuffle has.  Of each group the suffixes are sorted by
+    difference cover (``suffix_order``) and neighbours are compared byte by byte.
 
     A null text is empty.  A row without doc_id has no place in the order: it is returned whole
     and is no reason to remove bytes elsewhere.  Rows that repeat a doc_id are one document, each
     judged by its own text against documents with smaller ids.  Other columns are ignored.
     """
-    groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if docs.schema["doc_id"].dataType != T.LongType():
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    groups = size // GROUP + 1
     row = F.xxhash64("doc_id", "text").alias("row")
     # All joins below are on doc_id alone, so they share one shuffle of the texts.
     known = docs.filter("doc_id is not null").select("doc_id", "text", row)

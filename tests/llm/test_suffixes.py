@@ -79,3 +79,20 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.repeated_bytes(df).collect() == []
+
+
+def test_groups_follow_the_text_and_not_the_partitions(spark, monkeypatch):
+    asked = []
+    real = suffixes._anchor_rows
+    monkeypatch.setattr(suffixes, "_anchor_rows", lambda n: asked.append(n) or real(n))
+    df = spark.createDataFrame([(1, "a" * 3000), (2, "b" * 3000)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("2", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            suffixes.repeated_bytes(df)
+        monkeypatch.setattr(suffixes, "GROUP", 1000)
+        suffixes.repeated_bytes(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert asked == [1, 1, 7]
