@@ -14,7 +14,7 @@ from loadlens.functions.columns import unused
 from loadlens.llm.graph import components
 from loadlens.llm.words import U64, Words, constants, mix, slices
 from loadlens.schemas import quoted
-from loadlens.sources.store import stored
+from loadlens.sources.store import new_folder, scratch, stored
 
 HALVES = 8   # collections on either side; HALVES * HALVES tables
 ROWS = 2     # minhashes in each half of a table key
@@ -88,21 +88,22 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text", "set_hash").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, slot, id, n, low) of the buckets of all tables that hold two sets or more.
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, slot, id, n, rank, low, na): all sets of the buckets of all tables but the first.
 
     Table (i, j) is keyed by half i of the first collection and half j of the second, so
-    HALVES**2 tables need only 2 * HALVES halves.
+    HALVES**2 tables need only 2 * HALVES halves.  ``low`` is the first set of the bucket, of
+    ``na`` shingles; ``rank`` counts from it.
     """
-    first = reps.select("id", "n", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "x"),
-                        "halves")
+    first = classes.select("id", "n", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "x"),
+                           "halves")
     keys = first.select("id", "n", "i", "x", F.posexplode(
         F.slice("halves", HALVES + 1, HALVES)).alias("j", "y")).select(
         F.xxhash64("i", "j", "x", "y").alias("key"),
         (F.col("i") * HALVES + F.col("j")).alias("slot"), "id", "n")
-    shared = (keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-              .filter("low < high").select("key", "low"))
-    return keys.join(shared, "key")
+    by = Window.partitionBy("key").orderBy("id")
+    return keys.select("*", F.row_number().over(by).alias("rank"), F.first("id").over(by).alias(
+        "low"), F.first("n").over(by).alias("na")).filter("rank > 1")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,76 +130,80 @@ def _first_slot(x: str, y: str) -> Column:
     return first(1) * HALVES + first(HALVES + 1)
 
 
-def links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between set hashes, enough to connect all sets that share a bucket and agree.
+def _classes(filled: DataFrame) -> DataFrame:
+    """A row for each set: id, n, halves, its first doc_id, number of rows and one of them.
 
-    In each bucket the first set is compared with the others.  A set that stays outside the
-    first one's component is a stray of that bucket: any two sets of a bucket that are not yet
-    connected include a stray.  So strays are compared with four sets of the bucket, those still
-    outside with the next sixteen, and so on to its end; a pair is compared only in the first
-    bucket it shares.  Near copies of one text are thus done after a few comparisons for each,
-    and every pair of a bucket is compared or connected.
+    A row is found by doc_id and text, as a doc_id may have several texts.
     """
-    reps = stored(signed.dropDuplicates(["set_hash"]).select(
-        F.col("set_hash").alias("id"), F.col("n_shingles").alias("n"), "halves"))
-    buckets = stored(_buckets(reps))
-    members = buckets.select("id").distinct()
-    # A row is found by doc_id and text, as a doc_id may have several texts.
-    named = signed.join(members, F.col("set_hash") == F.col("id"), "left_semi").groupBy(
-        "set_hash", F.col("text_hash").alias("own")).agg(F.min("doc_id").alias("name"))
-    texts = named.groupBy("set_hash").agg(F.min(F.struct("own", "name")).alias("row")).select(
-        "set_hash", "row.own", "row.name")
+    return filled.groupBy(F.col("set_hash").alias("id")).agg(
+        F.first("n_shingles").alias("n"), F.first("halves").alias("halves"),
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"),
+        F.min(F.struct("text_hash", "doc_id")).alias("row"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (id) with the component of their set so far."""
+    return rows.join(labels, F.col("id") == F.col("node"), "left").withColumn(
+        "component", F.coalesce("component", "id")).drop("node")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows (key, component) of buckets whose rows are of more than one component."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias(
+        "most")).filter("least < most").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the sets with links; all that share a bucket and agree are connected.
+
+    In each bucket the first set is compared with the others.  The others need no more than to be
+    connected with one another, wherever the first is: where they are in several components, the
+    next four are compared with those further on that are in other components by then, then the
+    next 64, and so on until the rest of the bucket is one component.  A pair is compared only
+    in the first bucket it shares.  Near copies of one text are thus done after a few
+    comparisons for each, and every pair of a bucket is compared or connected.
+    """
+    buckets = stored(_buckets(classes))
+    members = buckets.select("id").union(buckets.select("low")).distinct()
+    texts = classes.join(members, "id", "left_semi").select(
+        F.col("id").alias("set_hash"), F.col("row.text_hash").alias("own"),
+        F.col("row.doc_id").alias("name"))
     sets = stored(shingle_sets(docs.select("doc_id", "text", text_hash()).join(
         texts, (F.col("text_hash") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("name")))
         .select("set_hash", "text").dropDuplicates(["set_hash"]), k))
-    first = buckets.filter("id > low").join(
-        buckets.filter("id = low").select("key", F.col("n").alias("na")), "key")
     close = 100 * F.least("na", "n") >= percent * F.greatest("na", "n")
-    pairs = first.filter(close).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    found = stored(_verified(pairs, sets, percent))
-
-    def outside(rows: DataFrame) -> DataFrame:
-        """Rows (low, id) whose set is not in the component of their bucket's first set."""
-        label = components(found)
-        own = label.select(F.col("node").alias("id"), F.col("component").alias("ci"))
-        head = label.select(F.col("node").alias("low"), F.col("component").alias("cl"))
-        return rows.join(own, "id", "left").join(head, "low", "left").filter(
-            F.coalesce("ci", "id") != F.coalesce("cl", "low")).drop("ci", "cl")
-
-    strays = stored(outside(buckets.filter("id > low").drop("slot")))
-    keys = strays.select("key").distinct()
-    whole = stored(buckets.join(keys, "key", "left_semi").select(
-        "key", "slot", "id", "n", F.row_number().over(
-            Window.partitionBy("key").orderBy("id")).alias("rank")).join(
-        reps.select("id", "halves"), "id"))
-    sizes = whole.groupBy("key").agg(F.max("rank").alias("size"))
-    strays = stored(strays.join(sizes, "key").join(reps.select("id", "halves"), "id"))
+    pairs = buckets.filter(close).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    labels = components(_verified(pairs, sets, percent))
+    own = classes.select("id", "halves")
+    rest = stored(_apart(_labelled(buckets.drop("low", "na"), labels)).join(own, "id"))
     done, step = 1, 4
-    while strays.limit(1).count():
-        others = whole.filter((F.col("rank") >= done) & (F.col("rank") < done + step)).join(
-            strays.select("key", "id", F.lit(True).alias("stray")), ["key", "id"], "left")
-        few = strays.select("key", F.col("id").alias("a"), F.col("n").alias("na"),
-                            F.col("halves").alias("ha"))
-        # Two strays meet once: the one further on in the bucket comes to the other.
-        ahead = F.col("stray").isNull() | (F.col("id") < F.col("a"))
-        pairs = others.join(few, (others.key == few.key) & (F.col("id") != F.col("a")) & ahead
-                            & close & _alike("halves", "ha")
-                            & (_first_slot("halves", "ha") == F.col("slot")))
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        found = stored(found.union(_verified(pairs.distinct(), sets, percent)))
-        done, step = done + step, 4 * step
-        strays = stored(outside(strays.filter(F.col("size") >= done)))
-    return found
+    while rest.limit(1).count():
+        few = rest.filter(F.col("rank") <= done + step).select(
+            "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("halves").alias("ha"),
+            F.col("rank").alias("ra"), F.col("component").alias("ca"))
+        pairs = rest.join(few, (rest.key == few.key) & (F.col("rank") > F.col("ra"))
+                          & (F.col("component") != F.col("ca")) & close & _alike("halves", "ha")
+                          & (_first_slot("halves", "ha") == F.col("slot")))
+        found = _verified(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent)
+        labels = components(found.union(labels.select("component", "node")))
+        done, step = done + step, 16 * step
+        rest = stored(_apart(_labelled(
+            rest.filter(F.col("rank") > done).drop("component"), labels)))
+    return labels
 
 
 def _roots(docs: DataFrame, filled: DataFrame, k: int, percent: int) -> DataFrame:
     """(set_hash, first, root) of the sets of ``filled`` that have copies or links."""
-    label = components(links(docs, filled, k, percent))
-    classes = filled.groupBy("set_hash").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    return stored(classes.join(label, F.col("set_hash") == label.node, "left").filter(
-        "node is not null or rows > 1").select(
-        "set_hash", "first", F.coalesce("component", "set_hash").alias("root")))
+    spark = docs.sparkSession
+    path = new_folder(spark)
+    with scratch(spark):
+        classes = stored(_classes(filled))
+        label = connected(docs, classes, k, percent)
+        return stored(classes.join(label, F.col("id") == F.col("node"), "left").filter(
+            "node is not null or rows > 1").select(
+            F.col("id").alias("set_hash"), "first", F.coalesce("component", "id").alias("root")),
+            path)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -240,18 +245,21 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own, root, none, name, row, best_row = unused(
         docs.columns, "own", "root", "none", "name", "row", "best")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(texts, k))
-    filled = signed.filter("n_shingles > 0")
-    classes = _roots(texts, filled, k, percent).select("set_hash", "root")
-    # One row for each text that is in a class, so a text with many copies is one row.
-    members = stored(signed.select("text_hash", "set_hash").distinct().join(
-        classes, "set_hash").select(F.col("text_hash").alias(own), F.col("root").alias(root)))
     marked = docs.withColumn(row, F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]))
-    narrow = marked.select(F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias(
-        none), F.col("doc_id").cast("long").alias(name), row)
-    best = narrow.join(members, F.col("text_hash") == F.col(own)).groupBy(root).agg(
-        F.min(F.struct(none, name, row)).alias(best_row))
-    best = stored(members.join(best, root))
+    path = new_folder(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        signed = stored(signatures(texts, k))
+        filled = signed.filter("n_shingles > 0")
+        classes = _roots(texts, filled, k, percent).select("set_hash", "root")
+        # One row for each text that is in a class, so a text with many copies is one row.
+        members = stored(signed.select("text_hash", "set_hash").distinct().join(
+            classes, "set_hash").select(F.col("text_hash").alias(own), F.col("root").alias(root)))
+        narrow = marked.select(
+            F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias(none),
+            F.col("doc_id").cast("long").alias(name), row)
+        best = narrow.join(members, F.col("text_hash") == F.col(own)).groupBy(root).agg(
+            F.min(F.struct(none, name, row)).alias(best_row))
+        best = stored(members.join(best, root), path)
     met = marked.join(best, F.xxhash64("text") == F.col(own), "left")
     stays = F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").cast("long").alias(name),
                      F.col(row))

@@ -6,8 +6,9 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from loadlens.llm import minhash
+from loadlens.llm import graph, minhash
 from loadlens.llm.queries import op1_minhash
+from loadlens.sources import store
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -102,3 +103,44 @@ def test_one_row_of_each_class(spark):
     assert kept == sorted([(1, a), (2, b), (None, "only one"), (6, None), (6, None), (7, ""),
                            (8, "same row")], key=str)
     assert minhash.representatives(df.limit(0)).collect() == []
+
+
+def test_links_of_a_group_stay_few(spark, monkeypatch):
+    """Near copies whose buckets begin with a text outside their class."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join([*base[:42], *(f"y{i}z{j}" for j in range(12))])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = minhash._verified
+
+    def counted(pairs, sets, percent):
+        found = real(pairs, sets, percent)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()}
+    assert got == {d: 0 if d < 60 else d for d, _ in rows}
+    # All pairs of the group would be 1,770.
+    assert sum(seen) < 700
+
+
+def test_components_of_more_links_than_one_task_takes(spark, monkeypatch):
+    links = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    want = {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+    assert {r.node: r.component for r in graph.components(df).collect()} == want
+    monkeypatch.setattr(graph, "LINKS", 4)
+    assert {r.node: r.component for r in graph.components(df).collect()} == want
+    assert graph.components(df.limit(0)).collect() == []
+
+
+def test_tables_between_steps_go(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words")],
+                               "doc_id long, text string")
+    made = store._FOLDERS.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    assert sorted(r.doc_id for r in minhash.representatives(df, 2).collect()) == [1, 3]
+    assert len(made) == before + 1
