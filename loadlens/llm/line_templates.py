@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions.columns import unused
-from loadlens.sources.store import stored
+from loadlens.sources.store import new_folder, scratch, stored
 
 DEPTH = 3         # leading tokens in the path of a leaf, after the token count
 MIN_DOCS = 10     # distinct texts in which a template recurs
@@ -113,10 +113,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, likeness: fl
     """
     added = ["n_lines", "n_dropped", "n_chars_dropped"]
     docs = docs.drop(*added)
-    _, followed = templates(docs.select("doc_id", "text"), min_docs, likeness, families)
     own, text_hash, numbers = unused(docs.columns, "_id", "_hash", "_lines")
-    dropped = followed.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).agg(
-        F.array_sort(F.collect_set("line_no")).alias(numbers))
+    path = new_folder(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        _, followed = templates(docs.select("doc_id", "text"), min_docs, likeness, families)
+        dropped = stored(followed.groupBy(
+            F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).agg(
+            F.array_sort(F.collect_set("line_no")).alias(numbers)), path)
     joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(own))
                        & (F.xxhash64("text") == F.col(text_hash)), "left")
     lines = _lines("text")
