@@ -21,6 +21,8 @@ ROWS = 2     # minhashes in each half of a table key
 # Halves that must agree before two sets outside a common component are compared; sets at 80 %
 # agree in 10 of 16 on average and in fewer than 4 once in ten thousand times.
 AGREE = 4
+LARGE = 64   # rows of a bucket from which its sets are outlined before they are compared
+RARE = 64    # sets that have a shingle which is rare among these, at most
 
 
 def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -147,6 +149,41 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "id")).drop("node")
 
 
+def _outlines(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rest`` with common and rare, by which the sets of a large bucket are told apart.
+
+    Of a set in a bucket of more than LARGE rows, ``rare`` are the shingles that 2 to RARE of
+    these sets have, and ``common`` is the number of those that more have; what is in no other
+    such set is in neither.  In smaller buckets all shingles count as common.
+    """
+    large = rest.groupBy("key").count().filter(F.col("count") > LARGE).select(
+        "key", F.lit(True).alias("large"))
+    rows = stored(rest.join(large, "key", "left"))
+    ids = rows.filter("large").select("id").distinct()
+    own = stored(sets.join(ids, "id", "left_semi").select(
+        "id", F.explode("shingles").alias("shingle")))
+    frequent = own.groupBy("shingle").count().filter(F.col("count") > RARE).select("shingle")
+    holders = own.join(frequent, "shingle", "left_anti").groupBy("shingle").agg(
+        F.collect_list("id").alias("ids"))
+    few = holders.select("shingle", F.size("ids").alias("times"), F.explode("ids").alias("id"))
+    few = few.groupBy("id").agg(F.count(F.lit(1)).alias("few"), F.collect_list(
+        F.when(F.col("times") > 1, F.col("shingle"))).alias("rare"))
+    # Only a row in a large bucket has an outline, so both sets of a pair have one or neither.
+    few = few.withColumn("large", F.lit(True))
+    return rows.join(few, ["id", "large"], "left").select(
+        *rest.columns, (F.col("n") - F.coalesce("few", F.lit(0))).alias("common"),
+        F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
+
+
+def _within_reach(percent: int) -> Column:
+    """Whether the sets of two outlines can be similar: what they have in common is bounded."""
+    def enough(most: Column) -> Column:
+        return 100 * most >= percent * (F.col("n") + F.col("na") - most)
+    common = F.least("common", "common_a")
+    return (enough(F.least(F.col("common") + F.size("rare"), F.col("common_a") + F.size("rare_a")))
+            & enough(common + F.size(F.array_intersect("rare", "rare_a"))))
+
+
 def _apart(rows: DataFrame) -> DataFrame:
     """The rows (key, component) of buckets whose rows are of more than one component."""
     keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias(
@@ -161,8 +198,9 @@ def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Data
     connected with one another, wherever the first is: where they are in several components, the
     next four are compared with those further on that are in other components by then, then the
     next 64, and so on until the rest of the bucket is one component.  A pair is compared only
-    in the first bucket it shares.  Near copies of one text are thus done after a few
-    comparisons for each, and every pair of a bucket is compared or connected.
+    in the first bucket it shares, and in a large bucket only if what the two can have in common
+    at most would do (``_outlines``).  Near copies of one text are thus done after a few
+    comparisons for each, and every pair of a bucket is compared, connected or too far apart.
     """
     buckets = stored(_buckets(classes))
     members = buckets.select("id").union(buckets.select("low")).distinct()
@@ -176,15 +214,18 @@ def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Data
     pairs = buckets.filter(close).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(_verified(pairs, sets, percent))
     own = classes.select("id", "halves")
-    rest = stored(_apart(_labelled(buckets.drop("low", "na"), labels)).join(own, "id"))
+    rest = stored(_apart(_labelled(buckets.drop("low", "na"), labels)))
+    rest = stored(_outlines(rest, sets).join(own, "id"))
     done, step = 1, 4
     while rest.limit(1).count():
         few = rest.filter(F.col("rank") <= done + step).select(
             "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("halves").alias("ha"),
-            F.col("rank").alias("ra"), F.col("component").alias("ca"))
+            F.col("rank").alias("ra"), F.col("component").alias("ca"),
+            F.col("common").alias("common_a"), F.col("rare").alias("rare_a"))
         pairs = rest.join(few, (rest.key == few.key) & (F.col("rank") > F.col("ra"))
                           & (F.col("component") != F.col("ca")) & close & _alike("halves", "ha")
-                          & (_first_slot("halves", "ha") == F.col("slot")))
+                          & (_first_slot("halves", "ha") == F.col("slot"))
+                          & _within_reach(percent))
         found = _verified(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent)
         labels = components(found.union(labels.select("component", "node")))
         done, step = done + step, 16 * step

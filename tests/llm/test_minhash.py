@@ -144,3 +144,29 @@ def test_tables_between_steps_go(spark):
     before = len(made)
     assert sorted(r.doc_id for r in minhash.representatives(df, 2).collect()) == [1, 3]
     assert len(made) == before + 1
+
+
+def test_large_group_of_strays(spark, monkeypatch):
+    """Copies with too many changes of their own are told from the group without a comparison."""
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(i, places):
+        return " ".join(f"x{i}_{j}" if j in places else w for j, w in enumerate(base))
+
+    # Nine changes each are 74 % of the base; those of twelve rows further on agree with others.
+    rows = [(i, changed(i, {(7 * i + 13 * j) % 120 for j in range(9)})) for i in range(90)]
+    rows += [(90 + i, changed(i // 3, {(5 * i + 11 * j) % 120 for j in range(8)}
+                              if i % 3 else {1, 2})) for i in range(12)]
+    rows += [(102 + i, changed(7, {3, 4, 5 + i})) for i in range(6)]
+    monkeypatch.setattr(minhash, "LARGE", 8, raising=False)
+    monkeypatch.setattr(minhash, "RARE", 12, raising=False)
+    compared, verified = [], minhash._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.near_duplicates(df, 2)) == brute(rows, 2)
+    assert sum(compared[1:]) < 300, compared
