@@ -186,9 +186,9 @@ def _within_reach(percent: int) -> Column:
 
 def _apart(rows: DataFrame) -> DataFrame:
     """The rows (key, component) of buckets whose rows are of more than one component."""
-    keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias(
-        "most")).filter("least < most").select("key")
-    return rows.join(keys, "key", "left_semi")
+    of = Window.partitionBy("key")
+    return rows.select("*", F.min("component").over(of).alias("least"), F.max("component").over(
+        of).alias("most")).filter("least < most").drop("least", "most")
 
 
 def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
