@@ -23,6 +23,7 @@ ROWS = 2     # minhashes in each half of a table key
 AGREE = 4
 LARGE = 64   # rows of a bucket from which its sets are outlined before they are compared
 RARE = 64    # sets that have a shingle which is rare among these, at most
+PARTS = 64   # parts in which the sets that have a shingle are counted
 
 
 def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -162,10 +163,14 @@ def _outlines(rest: DataFrame, sets: DataFrame) -> DataFrame:
     ids = rows.filter("large").select("id").distinct()
     own = stored(sets.join(ids, "id", "left_semi").select(
         "id", F.explode("shingles").alias("shingle")))
-    frequent = own.groupBy("shingle").count().filter(F.col("count") > RARE).select("shingle")
-    holders = own.join(frequent, "shingle", "left_anti").groupBy("shingle").agg(
-        F.collect_list("id").alias("ids"))
-    few = holders.select("shingle", F.size("ids").alias("times"), F.explode("ids").alias("id"))
+    # Counted in parts, which keep the sets while they are few, so no group holds a large one.
+    parts = own.groupBy("shingle", F.pmod("id", F.lit(PARTS)).alias("part")).agg(
+        F.collect_list("id").alias("ids")).select(
+        "shingle", F.size("ids").alias("n"), F.when(F.size("ids") <= RARE, F.col("ids")).alias("ids"))
+    holders = parts.groupBy("shingle").agg(
+        F.sum("n").alias("times"), F.flatten(F.collect_list("ids")).alias("ids"))
+    few = holders.filter(F.col("times") <= RARE).select(
+        "shingle", "times", F.explode("ids").alias("id"))
     few = few.groupBy("id").agg(F.count(F.lit(1)).alias("few"), F.collect_list(
         F.when(F.col("times") > 1, F.col("shingle"))).alias("rare"))
     # Only a row in a large bucket has an outline, so both sets of a pair have one or neither.

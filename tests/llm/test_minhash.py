@@ -170,3 +170,18 @@ def test_large_group_of_strays(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(minhash.near_duplicates(df, 2)) == brute(rows, 2)
     assert sum(compared[1:]) < 300, compared
+
+
+def test_outlines_without_a_join_by_shingle(spark, monkeypatch):
+    """What few and what many sets of a large bucket have is counted, not looked up."""
+    sets = {i: [1, 2, 100 + i, 200 + i // 2, 300 + i // 5] for i in range(20)} | {50: [1, 9]}
+    rest = [(7, i, 5) for i in range(20)] + [(8, 50, 2), (8, 3, 5)]
+    monkeypatch.setattr(minhash, "LARGE", 8)
+    monkeypatch.setattr(minhash, "RARE", 4)
+    got = minhash._outlines(
+        spark.createDataFrame(rest, "key long, id long, n long"),
+        spark.createDataFrame(list(sets.items()), "id long, shingles array<long>"))
+    assert "LeftAnti" not in got._jdf.queryExecution().toString()
+    assert {(r.key, r.id): (r.common, sorted(r.rare)) for r in got.collect()} == {
+        # 1, 2 and what five sets have is common, what one set has in neither.
+        (7, i): (3, [200 + i // 2]) for i in range(20)} | {(8, 50): (2, []), (8, 3): (5, [])}
