@@ -50,7 +50,7 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent(held)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, native: bool = False) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the smallest node.
 
     Each task first joins up its own links, up to LINKS at a time, so that a group with many
@@ -58,12 +58,16 @@ def components(links: DataFrame) -> DataFrame:
     joined up likewise.  Otherwise every round takes the smallest label among the neighbours and
     then follows the label's own label, so a chain shrinks by half.  Each round is written to the
     shared folder; only the number of changed labels reaches the driver.  No links give no rows.
+    With ``native`` there are only such rounds, and no Python runs on the executors; a node
+    linked with itself alone gives no row then.
     """
     spark = links.sparkSession
     path = new_folder(spark)
     with scratch(spark):
-        few = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(
-            _joined_up, "a long, b long"))
+        given = links.select(F.col("a").cast("long"), F.col("b").cast("long"))
+        if native:
+            return stored(_spread(stored(given)), path)
+        few = stored(given.mapInArrow(_joined_up, "a long, b long"))
         if few.count() <= LINKS:
             labels = few.repartition(1).mapInArrow(_joined_up, "a long, b long").select(
                 F.col("b").alias("node"), F.col("a").alias("component"))

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loadlens.functions.columns import unused
 from loadlens.llm.graph import components
-from loadlens.llm.words import U64, Words, constants, mix, slices
 from loadlens.schemas import quoted
 from loadlens.sources.store import new_folder, scratch, stored
 
@@ -24,51 +19,47 @@ AGREE = 4
 LARGE = 64   # rows of a bucket from which its sets are outlined before they are compared
 RARE = 64    # sets that have a shingle which is rare among these, at most
 PARTS = 64   # parts in which the sets that have a shingle are counted
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLANKS = "\t\n\v\f\r"
+
+
+def _shingles(k: int) -> Column:
+    """Hashes of the distinct runs of ``k`` words of text; fewer words are one run, none are none.
 
+    A word is a run of characters other than space, tab, line feed, vertical tab, form feed and
+    carriage return; A-Z are lower-cased.  The words are bound to a lambda variable: as a column
+    they would be worked out anew for every run.
+    """
+    words = F.array_remove(F.split(F.translate("text", _UPPER + _BLANKS, _UPPER.lower() + " " * len(
+        _BLANKS)), " "), "")
 
-def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
-def _signer(k: int):
-    n = 2 * HALVES * ROWS
-    masks, factors = constants(n, 3), constants(n, 5)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                yield signed(part)
-
-    def signed(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, offsets = Words(part.column("text")).shingles(k)
-        sets = _distinct(hashes, offsets)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        full = np.flatnonzero(sizes)
-        halves = np.zeros((len(sets), 2 * HALVES), U64)
-        whole = np.zeros(len(sets), U64)
-        if len(full):
-            flat = np.concatenate(sets)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            whole[full] = np.add.reduceat(mix(flat), starts)
-            for i in range(n):
-                low = np.minimum.reduceat((flat ^ masks[i]) * factors[i], starts)
-                halves[full, i // ROWS] = mix(halves[full, i // ROWS] + low)
-        at = pa.array(np.where(sizes > 0, 2 * HALVES, 0).cumsum(), pa.int32())
-        at = pa.concat_arrays([pa.array([0], pa.int32()), at])
-        return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_hash"), pa.array(sizes),
-             pa.array(whole.view(np.int64)),
-             pa.ListArray.from_arrays(at, pa.array(halves[full].ravel().view(np.int64)))],
-            ["doc_id", "text_hash", "n_shingles", "set_hash", "halves"])
-
-    return sign
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) > 0, F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))),
+            lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k)))))
+    found = F.element_at(F.transform(F.array(words), runs), 1)
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<long>")))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_hash (of the whole set) and half keys of each row."""
-    return docs.select(F.col("doc_id").cast("long"), "text", text_hash()).mapInArrow(
-        _signer(k), "doc_id long, text_hash long, n_shingles long, set_hash long, "
-        "halves array<long>")
+    """doc_id, text_hash, times, n_shingles, set_hash (of the whole set) and half keys.
+
+    Rows of one doc_id and text are one row, found ``times`` times.
+    """
+    sets = docs.select(F.col("doc_id").cast("long"), text_hash(), _shingles(k).alias("shingles"))
+    # Named before the set is spread, or they would be worked out anew for every shingle.
+    named = sets.withColumns({"n_shingles": F.size("shingles").cast("long"),
+                              "set_hash": F.xxhash64(F.array_sort("shingles"))})
+    flat = named.select("doc_id", "text_hash", "n_shingles", "set_hash",
+                        F.posexplode_outer("shingles").alias("at", "h"))
+    # Every minhash has a hash function of its own: the shingle's hash is hashed behind a number.
+    least = [F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(2 * HALVES * ROWS)]
+    met = flat.groupBy("doc_id", "text_hash", "n_shingles", "set_hash").agg(
+        F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("times"), *least)
+    halves = F.array(*[F.xxhash64(*[f"m{i * ROWS + j}" for j in range(ROWS)])
+                       for i in range(2 * HALVES)])
+    return met.select("doc_id", "text_hash", "times", "n_shingles", "set_hash", F.when(
+        F.col("n_shingles") > 0, halves).otherwise(F.array().cast("array<long>")).alias("halves"))
 
 
 def text_hash() -> Column:
@@ -78,17 +69,7 @@ def text_hash() -> Column:
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """set_hash and the distinct shingles of each row of ``docs`` (text, set_hash)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = _distinct(*Words(part.column("text")).shingles(k))
-                at = np.cumsum([0, *map(len, sets)])
-                flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("set_hash"), pa.ListArray.from_arrays(
-                        pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))],
-                    ["id", "shingles"])
-    return docs.select("text", "set_hash").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select(F.col("set_hash").alias("id"), _shingles(k).alias("shingles"))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -140,7 +121,7 @@ def _classes(filled: DataFrame) -> DataFrame:
     """
     return filled.groupBy(F.col("set_hash").alias("id")).agg(
         F.first("n_shingles").alias("n"), F.first("halves").alias("halves"),
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"),
+        F.min("doc_id").alias("first"), F.sum("times").alias("rows"),
         F.min(F.struct("text_hash", "doc_id")).alias("row"))
 
 
@@ -196,7 +177,8 @@ def _apart(rows: DataFrame) -> DataFrame:
         of).alias("most")).filter("least < most").drop("least", "most")
 
 
-def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int,
+              native: bool = False) -> DataFrame:
     """(node, component) of the sets with links; all that share a bucket and agree are connected.
 
     In each bucket the first set is compared with the others.  The others need no more than to be
@@ -217,7 +199,7 @@ def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Data
         .select("set_hash", "text").dropDuplicates(["set_hash"]), k))
     close = 100 * F.least("na", "n") >= percent * F.greatest("na", "n")
     pairs = buckets.filter(close).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    labels = components(_verified(pairs, sets, percent))
+    labels = components(_verified(pairs, sets, percent), native)
     own = classes.select("id", "halves")
     rest = stored(_apart(_labelled(buckets.drop("low", "na"), labels)))
     rest = stored(_outlines(rest, sets).join(own, "id"))
@@ -232,27 +214,29 @@ def connected(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Data
                           & (_first_slot("halves", "ha") == F.col("slot"))
                           & _within_reach(percent))
         found = _verified(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent)
-        labels = components(found.union(labels.select("component", "node")))
+        labels = components(found.union(labels.select("component", "node")), native)
         done, step = done + step, 16 * step
         rest = stored(_apart(_labelled(
             rest.filter(F.col("rank") > done).drop("component"), labels)))
     return labels
 
 
-def _roots(docs: DataFrame, filled: DataFrame, k: int, percent: int) -> DataFrame:
+def _roots(docs: DataFrame, filled: DataFrame, k: int, percent: int,
+           native: bool = False) -> DataFrame:
     """(set_hash, first, root) of the sets of ``filled`` that have copies or links."""
     spark = docs.sparkSession
     path = new_folder(spark)
     with scratch(spark):
         classes = stored(_classes(filled))
-        label = connected(docs, classes, k, percent)
+        label = connected(docs, classes, k, percent, native)
         return stored(classes.join(label, F.col("id") == F.col("node"), "left").filter(
             "node is not null or rows > 1").select(
             F.col("id").alias("set_hash"), "first", F.coalesce("component", "id").alias("root")),
             path)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
+                    native: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: classes of documents with similar shingle sets.
 
     Two documents are linked when the Jaccard similarity of their sets of ``k``-word shingles is
@@ -262,19 +246,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Equal sets are one node, so copies are never compared.  A null, empty or blank text has no
     shingle and is linked with nothing.  Rows that repeat a doc_id are each returned, with the
     class of their own text.  A row without doc_id is returned with a null component and kept,
-    as there is no name under which it could be dropped.  Other columns are ignored.
+    as there is no name under which it could be dropped.  Other columns are ignored.  With
+    ``native`` links are joined up by DataFrame operations alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, k))
     filled = signed.filter("doc_id is not null and n_shingles > 0")
     # The first document of a class of equal sets, then of the component of such classes.
-    classes = _roots(docs, filled, k, percent)
+    classes = _roots(docs, filled, k, percent, native)
     firsts = classes.groupBy("root").agg(F.min("first").alias("first"))
     named = classes.select("set_hash", "root").join(firsts, "root").select(
         F.col("set_hash").alias("node"), "first")
     own = signed.join(named, F.when(
         F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_hash"))
-        == F.col("node"), "left")
+        == F.col("node"), "left").withColumn(
+        "time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     component = F.coalesce("first", "doc_id")
     return own.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -303,13 +289,12 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         narrow = marked.select(
             F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias(none),
             F.col("doc_id").cast("long").alias(name), row)
-        best = narrow.join(members, F.col("text_hash") == F.col(own)).groupBy(root).agg(
-            F.min(F.struct(none, name, row)).alias(best_row))
-        best = stored(members.join(best, root), path)
-    met = marked.join(best, F.xxhash64("text") == F.col(own), "left")
-    stays = F.struct(F.col("doc_id").isNull().alias(none), F.col("doc_id").cast("long").alias(name),
-                     F.col(row))
-    alone = met.filter(F.col(root).isNull())
-    first = met.filter(stays.eqNullSafe(F.col(best_row))).dropDuplicates([root])
-    columns = [quoted(c) for c in docs.columns]
-    return alone.select(*columns).unionByName(first.select(*columns))
+        met = stored(narrow.join(members, F.col("text_hash") == F.col(own)))
+        best = met.groupBy(root).agg(F.min(F.struct(none, name, row)).alias(best_row))
+        # The rows of classes are told by their hash, so copies of one text are spread.
+        met = stored(met.join(best, root).groupBy(F.col(row).alias(own)).agg(F.max(
+            F.struct(none, name, row) == F.col(best_row)).alias(best_row)), path)
+    turn = F.row_number().over(Window.partitionBy(row).orderBy(row))
+    left = marked.join(met, F.col(row) == F.col(own), "left").withColumn(name, turn)
+    return left.filter(F.col(best_row).isNull() | (F.col(best_row) & (F.col(name) == 1))).select(
+        *[quoted(c) for c in docs.columns])

@@ -185,3 +185,27 @@ def test_outlines_without_a_join_by_shingle(spark, monkeypatch):
     assert {(r.key, r.id): (r.common, sorted(r.rare)) for r in got.collect()} == {
         # 1, 2 and what five sets have is common, what one set has in neither.
         (7, i): (3, [200 + i // 2]) for i in range(20)} | {(8, 50): (2, []), (8, 3): (5, [])}
+
+
+def test_rows_of_classes_in_one_pass(spark):
+    """The rows that stay are found in one pass, so their texts are shuffled once."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text + " x", "a"), (3, "apart", "a"),
+            (None, "apart", "a"), (4, None, "a"), (4, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = minhash.representatives(df, 2)
+    assert "Union" not in got._jdf.queryExecution().toString()
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted(
+        [(1, text), (3, "apart"), (4, None), (4, None)], key=str)
+
+
+def test_links_without_python(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(i, 60 + i))) for i in range(12)]
+    df = spark.createDataFrame([*rows, rows[3], (90, "A\tb"), (91, "a B"), (92, "\n")],
+                               "doc_id long, text string")
+    want = sorted(minhash.near_duplicates(df, 2).collect())
+    monkeypatch.setattr(type(df), "mapInArrow", None)
+    got = sorted(minhash.near_duplicates(df, 2, native=True).collect())
+    assert got == want and len(got) == 16
+    assert {r.component_id for r in got} == {0, 90, 92}
