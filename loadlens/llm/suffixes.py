@@ -242,8 +242,8 @@ def _snippet_rows(groups: int):
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
-    """Names 1, 2, 3 ... of the distinct keys, in their order."""
-    order = np.argsort(keys, kind="stable")
+    """Names 1, 2, 3 ... of the distinct keys, in their order; equal keys may come in any."""
+    order = np.argsort(keys)
     own = keys[order]
     new = np.ones(len(own), bool)
     new[1:] = own[1:] != own[:-1]
@@ -297,13 +297,13 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> n
     rank = np.zeros(size + 3, np.int64)
     rank[cover] = names[1:]
     inside, outside = starts[starts % 3 != 0], starts[starts % 3 == 0]
-    inside = inside[np.argsort(rank[inside], kind="stable")]
-    outside = outside[np.lexsort((rank[outside + 1], padded[outside]))]
+    top = int(rank.max()) + 1
+    inside = inside[np.argsort(rank[inside])]
+    outside = outside[np.argsort(padded[outside] * top + rank[outside + 1])]
     if not len(inside) or not len(outside):
         return np.concatenate([inside, outside])
 
     # A suffix outside the cover comes behind as many of either class as have a smaller key.
-    top = int(rank.max()) + 1
     one, two = inside[inside % 3 == 1], inside[inside % 3 == 2]
     low = _below(padded[one] * top + rank[one + 1], padded[outside] * top + rank[outside + 1])
     low += _below((padded[two] * 257 + padded[two + 1]) * top + rank[two + 2],
